@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_rules, sharding
+from . import bpe, exact_dedup, packing, quality_rules, sharding, simhash
 
 #: The tokenizer file of op8, found through the package that ships the vocabularies.
 TOKENIZER = "word_bpe_49k.json"
@@ -39,11 +39,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_packing": op9_packing,
+    "op10_simhash": op10_simhash,
 }
 
 EXACT_SQL = r"""
