@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, packing, quality_rules, sharding, simhash, toxicity
+from ._common import crc_mod
+from .training import learn_rows
 
 #: The tokenizer file of op8, found through the package that ships the vocabularies.
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +33,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = table(spark, sf_dir, "labels").where(learn_rows(4, 2)).select("doc_id", F.col("toxic").alias("label"))
+    return judged(toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labelled), ["doc_id"]), 4, 2)
+
+
+def judged(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
