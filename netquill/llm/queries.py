@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, quality_rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, language_id, mil_quality, packing, quality_rules, sharding, simhash, toxicity
 from ._common import crc_mod
 from .training import learn_rows
 
@@ -28,6 +28,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(mil_quality.score_quality(docs, mil_quality.fit_quality(docs, quality_labels(spark, sf_dir)), ["doc_id"]), 5, 0)
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(learn_rows(5, 0)).select("doc_id", F.col("quality").alias("label"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts, held_out = docs.select("doc_id", "text"), crc_mod(F.col("doc_id"), 4) == 2
@@ -69,6 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
