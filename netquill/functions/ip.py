@@ -7,38 +7,41 @@ do: IPv4 before IPv6, then by number, which the addresses' text does not.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hex_byte(number: Column) -> Column:
-    return F.lpad(F.lower(F.hex(number.cast("int"))), 2, "0")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value written once in the plan, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def v4_key(ip: Column) -> Column:
-    """'4' and eight hex digits, or null if ip is not four numbers up to 255."""
-    parts = F.split(F.trim(ip), r"\.")
-    numbers = F.transform(parts, lambda x: F.when(x.rlike("^[0-9]{1,3}$") & (x.try_cast("int") <= 255), x.try_cast("int")))
-    digits = F.concat(F.lit("4"), *[hex_byte(F.get(numbers, F.lit(i))) for i in range(4)])
-    return F.when(F.size(parts) == 4, digits)
+    """'4' and eight hex digits, or null if ip is not four plain numbers up to 255."""
+    number = "^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
+    digits = lambda p: F.array_join(F.transform(p, lambda x: F.lpad(F.lower(F.hex(x.try_cast("int"))), 2, "0")), "")
+    return let(F.split(F.trim(ip), r"\."), lambda p: F.when(F.size(p) == 4, F.when(F.forall(p, lambda x: x.rlike(number)), F.concat(F.lit("4"), digits(p)))))
 
 
 def v6_key(ip: Column) -> Column:
     """'6' and 32 hex digits, or null; '::' and a last part in IPv4 form are understood."""
-    ip = F.lower(F.trim(ip))
-    tail = F.regexp_extract(ip, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    tail_key = v4_key(F.when(tail != "", tail))
-    as_groups = F.concat(F.substring(tail_key, 2, 4), F.lit(":"), F.substring(tail_key, 6, 4))
-    ip = F.when(tail == "", ip).otherwise(F.concat(F.regexp_replace(ip, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", ""), as_groups))
-    short = F.contains(ip, F.lit("::"))
-    side = lambda n: F.filter(F.split(F.substring_index(ip, "::", n), ":"), lambda g: g != "")
-    left = F.when(short, side(1)).otherwise(F.split(ip, ":"))
-    right = F.when(short, side(-1)).otherwise(F.array().cast("array<string>"))
-    missing = F.when(short, F.lit(8)).otherwise(F.size(left)) - F.size(left) - F.size(right)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    good = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & (~short | (missing >= 1)) & (F.size(F.split(ip, "::")) <= 2)
-    return F.when(good, F.concat(F.lit("6"), F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
+    dotted = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
+
+    def plain(s: Column) -> Column:
+        tail = v4_key(F.regexp_extract(s, f"({dotted})", 1))
+        return F.when(F.contains(s, F.lit(".")), let(tail, lambda k: F.concat(F.regexp_replace(s, dotted, ""), F.substring(k, 2, 4), F.lit(":"), F.substring(k, 6, 4)))).otherwise(s)
+
+    def key(s: Column) -> Column:
+        side = lambda n: F.when(F.substring_index(s, "::", n) == "", F.array().cast("array<string>")).otherwise(F.split(F.substring_index(s, "::", n), ":"))
+        both = F.struct(side(1).alias("l"), side(-1).alias("r"))
+        filled = let(both, lambda x: F.when(F.size(x["l"]) + F.size(x["r"]) <= 7, F.concat(x["l"], F.array_repeat(F.lit("0"), 8 - F.size(x["l"]) - F.size(x["r"])), x["r"])))
+        groups = F.when(s.rlike("::.*::|:::"), F.lit(None)).when(F.contains(s, F.lit("::")), filled).otherwise(F.split(s, ":"))
+        joined = lambda g: F.concat(F.lit("6"), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))
+        return let(groups, lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), joined(g)))
+
+    return let(let(F.lower(F.trim(ip)), plain), key)
 
 
 def ip_key(ip: Column) -> Column:
@@ -48,14 +51,16 @@ def ip_key(ip: Column) -> Column:
 
 def v6_text(digits: Column) -> Column:
     """Text of 32 hex digits: no leading zeros, the longest run of zero groups as '::'."""
-    groups = [F.regexp_replace(F.lower(F.substring(digits, 4 * i + 1, 4)), "^0{1,3}", "") for i in range(8)]
-    full = F.concat_ws(":", *groups)
-    out = full
-    for n in range(2, 9):  # the longest is tried first: it is the outermost
-        pattern = rf"^((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}(?=:|$)"
-        short = F.regexp_replace(F.regexp_replace(full, pattern, "$1::"), ":{3,}", "::")
-        out = F.when(full.rlike(pattern), short).otherwise(out)
-    return out
+    groups = [F.regexp_replace(F.substring(digits, 4 * i + 1, 4), "^0{1,3}", "") for i in range(8)]
+
+    def shortened(full: Column) -> Column:
+        out = full
+        for n in range(2, 9):  # the longest is tried first: it is the outermost
+            pattern = rf"^((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}(?=:|$)"
+            out = F.when(full.rlike(pattern), F.regexp_replace(F.regexp_replace(full, pattern, "$1::"), ":{3,}", "::")).otherwise(out)
+        return out
+
+    return let(F.lower(F.concat_ws(":", *groups)), shortened)
 
 
 def key_of(text: str) -> str:
