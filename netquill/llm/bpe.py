@@ -15,11 +15,12 @@ library. Repeated rows each get their own result.
 
 from __future__ import annotations
 
-import heapq
 import json
 import struct
 import unicodedata
+from array import array
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame
 
 from ._common import per_text
 
-#: Words that a Python worker remembers; past it the memory starts anew.
-CACHE_WORDS = 300_000
-#: Longer words are not remembered.
-CACHE_CHARS = 64
+#: Pieces between white space, and words, that a Python worker remembers; past it the memory starts anew.
+REMEMBERED = 400_000
+#: Longer ones are not remembered.
+REMEMBERED_BYTES = 64
 
 
 def visible_bytes() -> list[str]:
@@ -43,27 +44,55 @@ def visible_bytes() -> list[str]:
     return out
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply merges in order of rank, then from left to right."""
+def merge_word(symbols: list[int], pairs: dict[int, int]) -> list[int]:
+    """Apply merges in order of rank, then from left to right.
+
+    pairs: left << 16 | right -> rank << 16 | merged symbol. Symbols and ranks have 16 bits.
+    """
     n = len(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    parts: list[str | None] = list(symbols)
-    queue = [(ranks[p], i, *p) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in ranks]
-    heapq.heapify(queue)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    after[-1] = -1
+    get, queue = pairs.get, []
+    for i in range(n - 1):
+        found = get(symbols[i] << 16 | symbols[i + 1])
+        if found is not None:
+            queue.append(found << 32 | i)
+    heapify(queue)
     while queue:
-        _, i, left, right = heapq.heappop(queue)
+        entry = heappop(queue)
+        i = entry & 0xFFFFFFFF
         j = after[i]
-        if j < 0 or parts[i] != left or parts[j] != right:
+        if j < 0 or symbols[i] < 0 or get(symbols[i] << 16 | symbols[j]) != entry >> 32:
             continue  # stale
-        parts[i], parts[j] = left + right, None
-        after[i] = k = after[j]
+        merged = symbols[i] = entry >> 32 & 0xFFFF
+        symbols[j] = -1
+        k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            if (p := (parts[i], parts[k])) in ranks:
-                heapq.heappush(queue, (ranks[p], i, *p))
-        if (h := before[i]) >= 0 and (p := (parts[h], parts[i])) in ranks:
-            heapq.heappush(queue, (ranks[p], h, *p))
-    return [p for p in parts if p is not None]
+            found = get(merged << 16 | symbols[k])
+            if found is not None:
+                heappush(queue, found << 32 | i)
+        h = before[i]
+        if h >= 0:
+            found = get(symbols[h] << 16 | merged)
+            if found is not None:
+                heappush(queue, found << 32 | h)
+    return [x for x in symbols if x >= 0]
+
+
+class Remembered(dict):
+    """A dict that makes what it does not have, and forgets all when full."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        got = self.make(key)
+        if len(key) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = got
+        return got
 
 
 class Encoder:
@@ -71,54 +100,53 @@ class Encoder:
 
     def __init__(self, spec: dict):
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.suffix: str = model.get("end_of_word_suffix") or ""
+        vocab: dict[str, int] = model["vocab"]
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("ids of over 16 bits")
+        self.pairs = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            self.pairs.setdefault(vocab[left] << 16 | vocab[right], rank << 16 | vocab[left + right])
+        suffix: str = model.get("end_of_word_suffix") or ""
+        chars = visible_bytes()
+        self.first_ids, self.last_ids = [vocab[c] for c in chars], [vocab[c + suffix] for c in chars]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        self.strings = {i: s.encode() for s, i in [*vocab.items(), *self.special.items()]}
         self.is_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.byte_chars = visible_bytes()
-        self.seen: dict[bytes, tuple[bytes, bytes]] = {}
+        self.chunks, self.of_word = Remembered(self.ids_of_chunk), Remembered(self.ids_of_word)
 
-    def ids_of_word(self, word: str) -> list[int]:
-        symbols = [self.byte_chars[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        return [self.vocab[s] for s in merge_word(symbols, self.ranks)]
+    def ids_of_word(self, word: str) -> bytes:
+        symbols = [self.first_ids[b] for b in word.encode()]
+        symbols[-1] = self.last_ids[word.encode()[-1]]
+        ids = merge_word(symbols, self.pairs) if len(symbols) > 1 else symbols
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids_of_plain(self, text: str) -> list[int]:
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return [i for w in self.words.findall(text) for i in self.ids_of_word(w)]
+    def ids_of_plain(self, text: str) -> bytes:
+        text = text.lower() if text.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+        of_word = self.of_word
+        return b"".join([of_word[w] for w in self.words.findall(text)])
 
-    def ids_of_chunk(self, chunk: bytes) -> list[int]:
-        """Of text without ASCII white space (no token spans it)."""
+    def ids_of_chunk(self, chunk: bytes) -> bytes:
+        """Of text without ASCII white space (no token spans it), as little-endian 32-bit integers."""
         text, out, at = chunk.decode("utf-8", "replace"), [], 0
-        for m in self.is_special.finditer(text) if self.is_special else ():
-            out += self.ids_of_plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+        for m in self.is_special.finditer(text) if self.is_special and any(s[0].encode() in chunk for s in self.special) else ():
+            out += [self.ids_of_plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
             at = m.end()
-        return out + self.ids_of_plain(text[at:])
-
-    def chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and their decoded bytes."""
-        ids = self.ids_of_chunk(chunk)
-        got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            self.seen[chunk] = got
-        return got
+        return b"".join([*out, self.ids_of_plain(text[at:])])
 
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """Ids of a whole text, and what they decode to."""
-        seen, chunk = self.seen, self.chunk
-        got = [seen.get(w) or chunk(w) for w in text.split()]
-        return b"".join([a for a, _ in got]), b" ".join([b for a, b in got if a])
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a whole text, as little-endian 32-bit integers."""
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> bytes:
         """The tokens' vocabulary strings, one space between; unknown ids are left out."""
-        return " ".join(s for i in ids if (s := self.strings.get(i)) is not None)
+        listed = array("I", ids).tolist()
+        try:
+            return b" ".join(map(self.strings.__getitem__, listed))
+        except KeyError:
+            return b" ".join([self.strings[i] for i in listed if i in self.strings])
 
 
 #: The encoder of this worker process, by the content of its file.
@@ -139,11 +167,11 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, keep: list[str] | None =
         if mark not in _ready:
             _ready.clear()
             _ready[mark] = Encoder(json.loads(sent.value))
-        encode = _ready[mark].encode
+        encoder = _ready[mark]
 
         def work(texts: list[bytes]) -> list[pa.Array]:
-            got = [encode(t) for t in texts]
-            return [pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.binary()).cast(pa.string())]
+            ids = [encoder.encode(t) for t in texts]
+            return [pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.binary()).cast(pa.string())]
 
         return work
 
