@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ip import v6_text
+from .ip import let, v6_text
 from .protocols import app_of_port
 
 VLAN_TAGS = [0x8100, 0x88A8]
@@ -38,19 +38,19 @@ def named(**columns: Column) -> Column:
 def checksum(data: Column) -> Column:
     """The one's-complement sum of 16-bit words, complemented; an odd last byte counts as its word's high byte. 0: valid."""
     words = F.floor((F.length(data) + 1) / 2).cast("int")
-    padded = F.concat(data, F.lit(bytearray(1)))
-    total = F.when(words > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(words, F.lit(1)) - 1), F.lit(0).cast("bigint"), lambda a, i: a + number(padded, i * 2, 2))).otherwise(F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    total = let(F.concat(data, F.lit(bytearray(1))), lambda d: F.when(F.length(d) > 1, F.aggregate(F.sequence(F.lit(0), F.greatest(words, F.lit(1)) - 1), zero, lambda a, i: a + number(d, i * 2, 2))).otherwise(zero))
     fold = lambda x: F.shiftright(x, 16) + x.bitwiseAND(F.lit(0xFFFF).cast("bigint"))
-    return F.lit(0xFFFF).cast("bigint") - fold(fold(fold(total)))
+    return F.lit(0xFFFF).cast("bigint") - let(let(let(total, fold), fold), fold)
 
 
 def ethernet(data: Column) -> Column:
     """dst, src, ethertype, vlan_id (of the innermost tag) and consumed; any number of tags is stripped."""
     tags = F.sequence(F.lit(0), F.greatest(F.floor((F.length(data) - 14) / 4).cast("int"), F.lit(0)))
     at = F.aggregate(tags, F.lit(12), lambda a, _: F.when(number(data, a, 2).isin(VLAN_TAGS), a + 4).otherwise(a))
-    inner = F.transform(F.array(at), lambda a: F.when(a + 2 <= F.length(data), named(
+    inner = let(at, lambda a: F.when(a + 2 <= F.length(data), named(
         dst=F.lower(F.hex(cut(data, 0, 6))), src=F.lower(F.hex(cut(data, 6, 6))), ethertype=number(data, a, 2).cast("int"),
-        vlan_id=F.when(a > 12, number(data, a - 2, 2) % 4096).cast("int"), consumed=a + 2)))[0]
+        vlan_id=F.when(a > 12, number(data, a - 2, 2) % 4096).cast("int"), consumed=a + 2)))
     return F.when(F.length(data) >= 14, inner)
 
 
@@ -100,34 +100,54 @@ def dns_header(data: Column) -> Column:
     return F.when(F.length(data) >= 12, named(id=count(0), qr=bit(flags, 0x8000), opcode=(F.shiftright(flags, 11) % 16).cast("int"), aa=bit(flags, 0x400), tc=bit(flags, 0x200), rd=bit(flags, 0x100), ra=bit(flags, 0x80), rcode=(flags % 16).cast("int"), qdcount=count(4), ancount=count(6), nscount=count(8), arcount=count(10)))
 
 
+def transport(d: Column, proto: Column, top: Column, end: Column) -> Column:
+    """t, u and i: the TCP, UDP or ICMP header, whichever the protocol says; end is where the packet ends."""
+    body = cut(d, 0, end)
+    return let(body, lambda b: named(t=F.when(proto == 6, tcp(b, top)), u=F.when(proto == 17, udp(b, top)), i=F.when(proto.isin(1, 58), icmp(b, top)), proto=proto, top=top, end=F.length(b)))
+
+
+def packet_struct(d: Column) -> Column:
+    """The decoded packet as one struct, null if the frame does not decode.
+
+    Each layer is bound by let, so the plan stays small.
+    """
+
+    def of_layers(e: Column, v4: Column, v6: Column, x: Column) -> Column:
+        t, u, i = x["t"], x["u"], x["i"]
+        l4 = F.when(t.isNotNull(), "Tcp").when(u.isNotNull(), "Udp").when(i.isNotNull() & (x["proto"] == 1), "Icmp").when(i.isNotNull(), "IcmpV6")
+        start = x["top"] + F.coalesce(t["consumed"], u["consumed"], i["consumed"])
+        payload = F.coalesce(F.when(l4.isNotNull(), cut(d, start, x["end"] - start)), F.lit(bytearray()))
+        flag = lambda mask: F.coalesce(bit(t["flags"].cast("bigint"), mask), F.lit(False))
+        dst_port = F.coalesce(t["dst_port"], u["dst_port"])
+        broken = ((x["proto"] == 6) & t.isNull()) | ((x["proto"] == 17) & u.isNull())
+        out = let(payload, lambda p: named(
+            l3=F.when(v4.isNotNull(), "IPv4").when(v6.isNotNull(), "IPv6").otherwise("Other(0)"), l4=l4, app=app_of_port(dst_port), src_ip=F.coalesce(v4["src"], v6["src"]), dst_ip=F.coalesce(v4["dst"], v6["dst"]),
+            src_port=F.coalesce(t["src_port"], u["src_port"]), dst_port=dst_port, ttl=v4["ttl"], syn=flag(2), ack=flag(16), fin=flag(1), rst=flag(4), psh=flag(8), urg=flag(32),
+            payload_len=F.length(p).cast("bigint"), payload=p, tcp_seq=t["seq"],
+        ))
+        return F.when(F.coalesce(broken, F.lit(False)), F.lit(None)).otherwise(out)
+
+    def of_ip(e: Column, v4: Column, v6: Column) -> Column:
+        at = e["consumed"]
+        proto = F.when(v4.isNotNull(), F.when(v4["fragment_offset"] == 0, v4["protocol"])).otherwise(v6["next_header"])
+        top = at + F.coalesce(v4["consumed"], v6["consumed"])
+        end = F.least(F.length(d), F.when(v4.isNotNull(), at + F.greatest(v4["total_length"], v4["consumed"])).otherwise(at + 40 + v6["payload_length"]))
+        return let(named(proto=proto, top=top, end=end), lambda h: let(transport(d, h["proto"], h["top"], h["end"]), lambda x: of_layers(e, v4, v6, x)))
+
+    def of_frame(e: Column) -> Column:
+        both = named(v4=F.when(e["ethertype"] == 0x0800, ipv4(d, e["consumed"])), v6=F.when(e["ethertype"] == 0x86DD, ipv6(d, e["consumed"])))
+        broken = lambda x: ((e["ethertype"] == 0x0800) & x["v4"].isNull()) | ((e["ethertype"] == 0x86DD) & x["v6"].isNull())
+        return let(both, lambda x: F.when(broken(x), F.lit(None)).otherwise(of_ip(e, x["v4"], x["v6"])))
+
+    return let(ethernet(d), lambda e: F.when(e.isNotNull(), of_frame(e)))
+
+
 def decode_frames(raw):
     """raw (pkt_id, ts_us, interface, data) as packets; frames that do not decode are left out.
 
     len is the captured length. The hop limit of IPv6 is no ttl, and the application comes from
     the destination port alone. Bytes after the length that the IP header gives are padding.
     """
-    d = F.col("data")
-    step = raw.withColumn("eth", ethernet(d)).where("eth is not null")
-    at = F.col("eth.consumed")
-    step = step.withColumns({"v4": F.when(F.col("eth.ethertype") == 0x0800, ipv4(d, at)), "v6": F.when(F.col("eth.ethertype") == 0x86DD, ipv6(d, at))})
-    bad = ((F.col("eth.ethertype") == 0x0800) & F.col("v4").isNull()) | ((F.col("eth.ethertype") == 0x86DD) & F.col("v6").isNull())
-    step = step.where(~bad)
-    proto = F.when(F.col("v4").isNotNull(), F.col("v4.protocol")).otherwise(F.col("v6.next_header"))
-    top = at + F.coalesce("v4.consumed", "v6.consumed")
-    end = F.least(F.length(d), F.when(F.col("v4").isNotNull(), at + F.greatest("v4.total_length", "v4.consumed")).otherwise(top + F.col("v6.payload_length")))
-    whole = F.coalesce(F.col("v4.fragment_offset"), F.lit(0)) == 0
-    step = step.withColumns({"proto": F.when(whole, proto), "top": top, "body": F.when(top.isNotNull(), cut(d, 0, end))})
-    b, top = F.col("body"), F.col("top")
-    step = step.withColumns({"t": F.when(F.col("proto") == 6, tcp(b, top)), "u": F.when(F.col("proto") == 17, udp(b, top)), "i": F.when(F.col("proto").isin(1, 58), icmp(b, top))})
-    step = step.where(~((F.col("proto") == 6) & F.col("t").isNull()) & ~((F.col("proto") == 17) & F.col("u").isNull()) | F.col("proto").isNull())
-    l4 = F.when(F.col("t").isNotNull(), "Tcp").when(F.col("u").isNotNull(), "Udp").when(F.col("i").isNotNull() & (F.col("proto") == 1), "Icmp").when(F.col("i").isNotNull(), "IcmpV6")
-    used = F.coalesce("t.consumed", "u.consumed", "i.consumed")
-    payload = F.when(l4.isNotNull(), cut(b, top + used, F.length(b) - top - used)).otherwise(F.lit(bytearray()))
-    flag = lambda mask: F.coalesce(bit(F.col("t.flags").cast("bigint"), mask), F.lit(False))
-    dst_port = F.coalesce("t.dst_port", "u.dst_port")
-    out = step.select(
-        "pkt_id", "ts_us", "interface", F.length(d).alias("len"), F.when(F.col("v4").isNotNull(), "IPv4").when(F.col("v6").isNotNull(), "IPv6").otherwise("Other(0)").alias("l3"), l4.alias("l4"), app_of_port(dst_port).alias("app"),
-        F.coalesce("v4.src", "v6.src").alias("src_ip"), F.coalesce("v4.dst", "v6.dst").alias("dst_ip"), F.coalesce("t.src_port", "u.src_port").alias("src_port"), dst_port.alias("dst_port"), F.col("v4.ttl").alias("ttl"),
-        flag(2).alias("syn"), flag(16).alias("ack"), flag(1).alias("fin"), flag(4).alias("rst"), flag(8).alias("psh"), flag(32).alias("urg"), F.length(payload).cast("bigint").alias("payload_len"), payload.alias("payload"), F.col("t.seq").alias("tcp_seq"),
-    )
-    return out
+    # The generator keeps filters above it: pushed below, they would repeat the whole decoding.
+    rows = raw.select("pkt_id", "ts_us", "interface", F.length("data").alias("len"), F.explode_outer(F.array(packet_struct(F.col("data")))).alias("p"))
+    return rows.where("p is not null").select("pkt_id", "ts_us", "interface", "len", "p.*")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bpf, decode, encode, names
 from ..functions import protocols as P
 from ..functions.ip import ip_key, v6_text
-from ..operators import alerts, enrich, filters, flows, payloads, traffic
-from ..sources import eve, lists
+from ..operators import alerts, enrich, filters, flows, payloads, reassembly, traffic
+from ..sources import eve, lists, pcap
 from ..sources.packet_view import PACKETS_SQL, packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,3 +265,80 @@ from_packets("humanize_bytes", f"{WITH} SELECT pkt_id, n, {HUMAN} AS human FROM
              lambda p: p.select("pkt_id", (F.col("len").cast("bigint") * F.col("len") * (F.col("pkt_id") % 5) * (F.col("pkt_id") % 11)).alias("n")).withColumn("human", P.humanize_bytes(F.col("n"))))
 from_packets("ip_keys", f"{WITH} SELECT DISTINCT src_ip, src_key FROM packets", lambda p: p.select("src_ip", ip_key(F.col("src_ip")).alias("src_key")).distinct())
 from_packets("ip6_text", f"{WITH} SELECT pkt_id, '2001:db8::' || lower(printf('%x', pkt_id + 1)) AS ip FROM packets WHERE pkt_id < 60000", lambda p: p.where("pkt_id < 60000").select("pkt_id", v6_text(F.concat(F.lit("20010db8"), F.lpad(F.lower(F.hex(F.col("pkt_id") + 1)), 24, "0"))).alias("ip")))
+
+# Bytes: frames are made from the packets view and decoded again, so the view is what must come out.
+
+
+def raw_frames(p: DataFrame) -> DataFrame:
+    return p.withColumn("tcp_seq", F.col("pkt_id")).select("pkt_id", "ts_us", "interface", encode.frame(F.col("payload_hex")).alias("data"))
+
+
+DECODED = ["pkt_id", "ts_us", "interface", "l3", "l4", "app", "src_ip", "dst_ip", "src_port", "dst_port", "ttl", "syn", "ack", "fin", "rst", "psh", "urg"]
+DECODED_SQL = f"SELECT {', '.join(c if c not in ('syn', 'ack', 'fin', 'rst', 'app') else f'''CASE WHEN l4 = 'Tcp' THEN {c} ELSE false END AS {c}''' if c != 'app' else 'app' for c in DECODED)}, length(payload_hex) // 2 AS payload_len, payload_hex FROM packets"
+from_packets("decode_packets", f"{WITH} {DECODED_SQL}", lambda p: decode.decode_frames(raw_frames(p)).select(*DECODED, "payload_len", F.lower(F.hex("payload")).alias("payload_hex")))
+from_packets("decode_checksum", f"{WITH} SELECT pkt_id, false AS ok, 0x800::INTEGER AS ethertype FROM packets", lambda p: raw_frames(p).select("pkt_id", decode.ipv4(F.col("data"), 14)["checksum_ok"].alias("ok"), decode.ethernet(F.col("data"))["ethertype"].alias("ethertype")))
+#: Accept TCP packets to port 443 or 4444, by the fields of an untagged IPv4 frame.
+PROGRAM = [(0x28, 0, 0, 12), (0x15, 0, 7, 0x800), (0x30, 0, 0, 23), (0x15, 0, 5, 6), (0xB1, 0, 0, 14), (0x48, 0, 0, 16), (0x15, 1, 0, 443), (0x15, 0, 1, 4444), (0x06, 0, 0, 65535), (0x06, 0, 0, 0)]
+from_packets("bpf_exec", f"{WITH} SELECT pkt_id, CASE WHEN l4 = 'Tcp' AND dst_port IN (443, 4444) THEN 65535 ELSE 0 END::BIGINT AS accepted FROM packets", lambda p: raw_frames(p).select("pkt_id", bpf.accepted(PROGRAM, F.col("data")).alias("accepted")))
+HOST_SQL = "lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1))"
+
+
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1)).alias("host"))
+
+
+@query(f"SELECT page_id, {HOST_SQL} AS name, 1 AS qdcount FROM pages")
+def dns_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = hosts(spark, sf_dir).select("page_id", encode.dns_question(F.col("host")).alias("m"))
+    return messages.select("page_id", names.dns_query_name("m").alias("name"), decode.dns_header(F.col("m"))["qdcount"].alias("qdcount"))
+
+
+@query(f"SELECT page_id, {HOST_SQL} AS name, 772 AS version FROM pages")
+def tls_sni(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = hosts(spark, sf_dir).select("page_id", names.tls_fields(encode.hello(F.col("host"))).alias("t"))
+    return records.select("page_id", F.col("t.server_name").alias("name"), F.col("t.highest_version").alias("version"))
+
+
+SEGMENT = 1000
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS md5 FROM documents WHERE length(text) > 0")
+def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is sent as a TCP stream of SEGMENT-byte segments, every pair of them swapped."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("b"))
+    pieces = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(-1), F.floor(F.octet_length("b") / SEGMENT).cast("int"))).alias("i"))
+    ip = F.concat_ws(".", F.lit("10"), *[(F.shiftright("doc_id", s) % 256).cast("string") for s in (16, 8, 0)])
+    order = F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.col("i").bitwiseXOR(F.lit(1)))
+    segments = pieces.select(
+        "doc_id", (F.col("doc_id") * 100_000 + order + 1).alias("pkt_id"), (order + 1).cast("bigint").alias("ts_us"), F.lit("Tcp").alias("l4"), ip.alias("src_ip"), F.lit("11.0.0.1").alias("dst_ip"),
+        F.lit(1000).alias("src_port"), F.lit(80).alias("dst_port"), (F.col("i") < 0).alias("syn"), F.lit(False).alias("fin"), F.lit(False).alias("rst"),
+        F.when(F.col("i") < 0, 0).otherwise(F.col("i") * SEGMENT + 1).cast("bigint").alias("tcp_seq"),
+        F.when(F.col("i") >= 0, F.substring(F.col("b"), F.greatest(F.col("i"), F.lit(0)) * SEGMENT + 1, F.lit(SEGMENT))).otherwise(F.lit(bytearray())).alias("payload"),
+    )
+    emitted = reassembly.reassemble(segments)
+    whole = emitted.groupBy(F.floor(F.col("pkt_id") / 100_000).cast("bigint").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("pkt_id", F.hex("data").alias("h")))).alias("parts"))
+    text = F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), ""))
+    return whole.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.md5(text).alias("md5"))
+
+
+@query(f"{WITH} SELECT pkt_id, ts_us, length(payload_hex) // 2 + CASE l4 WHEN 'Tcp' THEN 54 ELSE 42 END AS len FROM packets")
+def pcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets view written to capture files in the scratch folder and read back."""
+    raw = raw_frames(packets(spark, sf_dir)).withColumns({"seq": F.col("pkt_id"), "wire_len": F.length("data").cast("bigint"), "link": F.lit(1).cast("bigint")})
+    folder = scratch(spark)
+    pcap.write_pcap(raw.withColumn("interface", F.concat(F.lit("if"), F.col("pkt_id") % 4)), folder, "view", max_mb=1).collect()
+    back = decode.decode_frames(pcap.read_pcap(spark, folder + "/*.pcap").withColumn("pkt_id", F.lit(0).cast("bigint")))
+    own = packets(spark, sf_dir).select(F.col("pkt_id").alias("own_id"), "ts_us", "src_ip", "dst_ip", "l4")
+    return back.drop("pkt_id").join(own, ["ts_us", "src_ip", "dst_ip", "l4"]).select(F.col("own_id").alias("pkt_id"), "ts_us", "len")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, as a local path."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/netquill").removeprefix("file:")
+    folder = f"/{root.lstrip('/')}/captures-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
+from_packets("rotate_assign", None, lambda p: pcap.rotated(raw_frames(p).withColumns({"seq": F.col("pkt_id"), "wire_len": F.length("data").cast("bigint"), "link": F.lit(1).cast("bigint")}), max_seconds=600).groupBy("interface", "file_no").agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us")))
+from_packets("event_rules", f"{WITH} SELECT pkt_id, '[own] ' || src_ip AS message FROM packets WHERE len > 1400", lambda p: alerts.stateless(p, [F.when(F.col("len") > 1400, alerts.alert(99, "Own", "Low", "Own", F.concat(F.lit("[own] "), F.col("src_ip"))))]).select("pkt_id", "message"))

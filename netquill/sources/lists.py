@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ip import ip_key
+from ..functions.ip import ip_key, key_of, key_range
 
 #: A cap on the rules that become one expression; more would make plans that are slow to compile.
 MOST_RULES = 2000
@@ -20,26 +22,32 @@ def classified(lines: DataFrame) -> DataFrame:
     Lines are trimmed; empty ones and those that start with # are left out. What is neither an
     address nor a network is a domain, in lower case; comments after an entry are part of it.
     """
-    text = F.trim("value")
-    rows = lines.select(text.alias("entry")).where((F.col("entry") != "") & ~F.startswith("entry", F.lit("#")))
-    own = ip_key(F.col("entry"))
-    address, length = F.substring_index("entry", "/", 1), F.regexp_extract("entry", r"^[^/]*/([0-9]{1,3})$", 1).try_cast("int")
-    base = ip_key(address)
-    width = F.when(F.substring(base, 1, 1) == "4", 32).otherwise(128)
-    is_net = base.isNotNull() & (length <= width) & F.contains("entry", F.lit("/"))
-    rows = rows.select("entry", own.alias("own"), F.when(is_net, base).alias("base"), F.when(is_net, length).alias("bits"), F.when(is_net, width).alias("width"))
-    kind = F.when(F.col("own").isNotNull(), "ip").when(F.col("base").isNotNull(), "net").otherwise("domain")
-    # Digits past the prefix are set to 0 or f; the digit that the prefix cuts is worked out.
-    whole, part = F.floor(F.col("bits") / 4).cast("int"), (F.col("bits") % 4).cast("int")
-    digit = F.conv(F.substring("base", whole + 2, F.lit(1)), 16, 10).cast("int")
-    unit = F.pow(F.lit(2), 4 - part).cast("int")
-    low = F.when(part == 0, F.lit("")).otherwise(F.lower(F.hex(digit - digit % unit)))
-    high = F.when(part == 0, F.lit("")).otherwise(F.lower(F.hex(digit - digit % unit + unit - 1)))
-    size = (F.col("width") / 4 + 1).cast("int")
-    head = F.substring("base", F.lit(1), whole + 1)
-    edge = lambda d, fill: F.when(F.col("base").isNotNull(), F.rpad(F.concat(head, d), size, fill)).otherwise(F.col("own"))
-    entry = F.when(kind == "domain", F.lower("entry")).otherwise(F.col("entry"))
-    return rows.select(entry.alias("entry"), kind.alias("kind"), edge(low, "0").alias("lo"), edge(high, "f").alias("hi"), "bits")
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for line in frame["value"]:
+                entry = (line or "").strip()
+                if entry and not entry.startswith("#"):
+                    rows.append(entry_of(entry))
+            yield pd.DataFrame(rows, columns=["entry", "kind", "lo", "hi", "bits"]).astype({"bits": "Int32"})
+
+    return lines.select("value").mapInPandas(parse, "entry string, kind string, lo string, hi string, bits int")
+
+
+def entry_of(entry: str) -> tuple:
+    """(entry, kind, lo, hi, bits)."""
+    try:
+        key = key_of(entry)
+        return entry, "ip", key, key, None
+    except ValueError:
+        pass
+    try:
+        if "/" in entry and entry.rpartition("/")[2].isdigit():
+            return (entry, "net", *key_range(entry))
+    except ValueError:
+        pass
+    return entry.lower(), "domain", None, None, None
 
 
 def read_blocklist(spark: SparkSession, path: str) -> dict[str, DataFrame]:
