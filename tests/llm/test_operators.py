@@ -221,7 +221,7 @@ def test_models_odd(spark, odd, empty, kind):
 @pytest.mark.parametrize("bits", [3, 64])
 def test_exact_dedup(spark, bits):
     rng = random.Random(8)
-    texts = ["hot   text" if rng.random() < 0.4 else rng.choice(["a b", "ab", " ab ", "c", "", None, "d\n"]) + str(rng.randint(0, 99)) * rng.randint(0, 2) for _ in range(700)]
+    texts = ["hot   text" if rng.random() < 0.4 else rng.choice(["a b", "ab", " ab ", "c", "", "d\n"]) + str(rng.randint(0, 99)) * rng.randint(0, 2) for _ in range(700)]
     texts = [t if i % 9 else None for i, t in enumerate(texts)]
     rows = exact_dedup.exact_groups(table(spark, texts), digest_bits=bits).collect()
     groups = {}
@@ -236,7 +236,7 @@ def test_exact_dedup(spark, bits):
 
 def test_exact_dedup_odd(odd, empty):
     kept = exact_dedup.exact_dedup(odd)
-    assert kept.columns == odd.columns and sorted((r.text or "").replace(" ", "")[:9] for r in kept.collect()) == sorted(["", "x", "loremipsu", "loremipsu", "ünïcödé", "a" * 9, "sametexth"])
+    assert kept.columns == odd.columns and sorted("".join((r.text or "").split())[:9] for r in kept.collect()) == sorted(["", "x", "loremipsu", "loremipsu", "ünïcödé", "a" * 9, "sametexth"])
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
@@ -385,5 +385,5 @@ def dict_root(parent, x):
 
 def test_near_odd(odd, empty):
     kept = simhash.near_dedup(odd)
-    assert kept.columns == odd.columns and kept.count() == 7
+    assert kept.columns == odd.columns and kept.count() == 6
     assert simhash.near_dedup(empty).count() == 0
