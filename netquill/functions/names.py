@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_POINTERS, MOST_NAME = 10, 254
 
@@ -85,7 +86,7 @@ def client_hello(record: bytes | None, compat: bool = False) -> dict | None:
 TLS = "content_type int, version int, length int, is_client_hello boolean, server_name string, highest_version int"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def dns_query_name(messages: pd.Series) -> pd.Series:
     """The first question's name, null if there is none or it is broken."""
     return messages.map(dns_query)

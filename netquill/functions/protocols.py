@@ -51,9 +51,15 @@ def is_connection_start() -> Column:
 
 
 def humanize_bytes(n: Column) -> Column:
-    """1024-based: 1.0G, 1.0M, 1.0K or 12B."""
-    unit = lambda size, name: F.format_string(f"%.1f{name}", n / F.lit(float(size)))
-    return F.when(n >= 1 << 30, unit(1 << 30, "G")).when(n >= 1 << 20, unit(1 << 20, "M")).when(n >= 1 << 10, unit(1 << 10, "K")).otherwise(F.format_string("%dB", n))
+    """1024-based: 1.0G, 1.0M, 1.0K or 12B; ties round to even, as binary fractions do when printed."""
+
+    def unit(bits: int, name: str) -> Column:
+        tenths, size = n.cast("bigint") * 10, F.lit(1 << bits).cast("bigint")
+        whole, rest = F.shiftright(tenths, bits), (tenths % size) * 2
+        rounded = whole + F.when((rest > size) | ((rest == size) & (whole % 2 == 1)), 1).otherwise(0)
+        return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"), F.lit(name))
+
+    return F.when(n >= 1 << 30, unit(30, "G")).when(n >= 1 << 20, unit(20, "M")).when(n >= 1 << 10, unit(10, "K")).otherwise(F.concat(n.cast("string"), F.lit("B")))
 
 
 def clock(ts_us: Column, digits: int) -> Column:

@@ -276,7 +276,7 @@ def raw_frames(p: DataFrame) -> DataFrame:
 DECODED = ["pkt_id", "ts_us", "interface", "l3", "l4", "app", "src_ip", "dst_ip", "src_port", "dst_port", "ttl", "syn", "ack", "fin", "rst", "psh", "urg"]
 DECODED_SQL = f"SELECT {', '.join(c if c not in ('syn', 'ack', 'fin', 'rst', 'app') else f'''CASE WHEN l4 = 'Tcp' THEN {c} ELSE false END AS {c}''' if c != 'app' else 'app' for c in DECODED)}, length(payload_hex) // 2 AS payload_len, payload_hex FROM packets"
 from_packets("decode_packets", f"{WITH} {DECODED_SQL}", lambda p: decode.decode_frames(raw_frames(p)).select(*DECODED, "payload_len", F.lower(F.hex("payload")).alias("payload_hex")))
-from_packets("decode_checksum", f"{WITH} SELECT pkt_id, false AS ok, 0x800::INTEGER AS ethertype FROM packets", lambda p: raw_frames(p).select("pkt_id", decode.ipv4(F.col("data"), 14)["checksum_ok"].alias("ok"), decode.ethernet(F.col("data"))["ethertype"].alias("ethertype")))
+from_packets("decode_checksum", f"{WITH} SELECT pkt_id, false AS ok, 2048 AS ethertype FROM packets", lambda p: raw_frames(p).select("pkt_id", decode.ipv4(F.col("data"), 14)["checksum_ok"].alias("ok"), decode.ethernet(F.col("data"))["ethertype"].alias("ethertype")))
 #: Accept TCP packets to port 443 or 4444, by the fields of an untagged IPv4 frame.
 PROGRAM = [(0x28, 0, 0, 12), (0x15, 0, 7, 0x800), (0x30, 0, 0, 23), (0x15, 0, 5, 6), (0xB1, 0, 0, 14), (0x48, 0, 0, 16), (0x15, 1, 0, 443), (0x15, 0, 1, 4444), (0x06, 0, 0, 65535), (0x06, 0, 0, 0)]
 from_packets("bpf_exec", f"{WITH} SELECT pkt_id, CASE WHEN l4 = 'Tcp' AND dst_port IN (443, 4444) THEN 65535 ELSE 0 END::BIGINT AS accepted FROM packets", lambda p: raw_frames(p).select("pkt_id", bpf.accepted(PROGRAM, F.col("data")).alias("accepted")))
@@ -329,7 +329,7 @@ def pcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pcap.write_pcap(raw.withColumn("interface", F.concat(F.lit("if"), F.col("pkt_id") % 4)), folder, "view", max_mb=1).collect()
     back = decode.decode_frames(pcap.read_pcap(spark, folder + "/*.pcap").withColumn("pkt_id", F.lit(0).cast("bigint")))
     own = packets(spark, sf_dir).select(F.col("pkt_id").alias("own_id"), "ts_us", "src_ip", "dst_ip", "l4")
-    return back.drop("pkt_id").join(own, ["ts_us", "src_ip", "dst_ip", "l4"]).select(F.col("own_id").alias("pkt_id"), "ts_us", "len")
+    return back.drop("pkt_id").join(own, ["ts_us", "src_ip", "dst_ip", "l4"]).select(F.col("own_id").alias("pkt_id"), "ts_us", F.col("len").cast("bigint").alias("len"))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -105,7 +105,7 @@ def test_eve_json(spark):
 
 
 def test_streamed_flows_match_batch(spark, tmp_path):
-    rows = [{"pkt_id": i, "ts_us": i * 7_000_000 + (40_000_000 if i > 20 else 0), "src_ip": f"10.0.0.{i % 3}", "dst_ip": "10.0.0.9", "src_port": i % 2} for i in range(60)]
+    rows = [{"pkt_id": i, "ts_us": 10**9 + i * 7_000_000 + (40_000_000 if i > 20 else 0), "src_ip": f"10.0.0.{i % 3}", "dst_ip": "10.0.0.9", "src_port": i % 2} for i in range(60)]
     packets = small(spark, rows)
     for part in range(3):
         packets.where(F.floor(F.col("pkt_id") / 20) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
