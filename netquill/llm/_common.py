@@ -70,11 +70,12 @@ def per_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list[bytes
     """Add columns computed from whole texts, batch by batch, in Arrow.
 
     make() is called once a task and returns the function from texts to new columns; the
-    columns in keep pass through.
+    columns in keep pass through, but for those that a new column of the same name replaces.
     Output batches hold a slice of each input batch, so that memory stays bounded by the
     largest text rather than by the number of rows.
     """
-    keep = list(keep)
+    names = [x.strip().split()[0].strip("`") for x in split_schema(schema)]
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out_schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [schema])
 
@@ -85,7 +86,6 @@ def per_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list[bytes
                 columns = [part.column(c) for c in keep] + work(texts_of(part.column(text_col)))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    names = [x.strip().split()[0].strip("`") for x in split_schema(schema)]
     return df.select(*[col(c) for c in dict.fromkeys([*keep, text_col])]).mapInArrow(run, out_schema)
 
 

@@ -309,14 +309,15 @@ def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
 def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """The columns in keep with n_bytes, n_removed, spans (removed byte ranges), kept_bytes and kept_text.
 
-    kept_bytes are the bytes outside the spans. kept_text is a string: characters that a span
+    Columns of docs with these names are replaced. kept_bytes are the bytes outside the spans. kept_text is a string: characters that a span
     cuts in the middle stay whole in it.
     """
     spans = repeated_spans(docs, id_col, text_col, crowd)
     names = {k: free_name(docs, f"nq_{k}") for k in ("id0", "id1")}
     doc_id, text = col(id_col).cast("bigint"), F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*[col(c) for c in keep if c != text_col], text.alias(text_col), F.coalesce(doc_id, F.lit(0)).cast("bigint").alias(names["id0"]), F.xxhash64(doc_id, text).alias(names["id1"]))
-    passed = [c for c in keep if c != text_col]
+    added = ("n_bytes", "n_removed", "spans", "kept_bytes", "kept_text")
+    passed = [c for c in keep if c != text_col and c.lower() not in added]
+    rows = docs.select(*[col(c) for c in passed], text.alias(text_col), F.coalesce(doc_id, F.lit(0)).cast("bigint").alias(names["id0"]), F.xxhash64(doc_id, text).alias(names["id1"]))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
