@@ -48,9 +48,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def narrowed(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """doc_id, text and the columns in more: extra columns cannot clash with names used inside."""
-    return df.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), *[col(c) for c in more])
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns of these names renamed, and what gives back df's columns under their own names."""
+    moved = {c: free_name(df, f"nq_own_{c}") for c in df.columns if c.lower() in names}
+    own = df.columns
+    return df.withColumnsRenamed(moved), lambda got: got.select(*[col(moved.get(c, c)).alias(c) for c in own])
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, by_bytes, col, free_name, staged, texts_of
+from ._common import WHITE, by_bytes, col, free_name, set_aside, staged, texts_of
 
 MEMTABLE_ROWS = 4096
 MOST_RUNS = 4
@@ -172,5 +172,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row has; whole rows, same columns."""
-    names = docs.columns
-    return exact_groups(docs, id_col, text_col).filter("kept").select(*[col(c) for c in names])
+    docs, back = set_aside(docs, ["keep_id", "group_size", "kept", "text_sha256"])
+    return back(exact_groups(docs, id_col, text_col).where("kept"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, free_name, per_text, staged
+from ._common import col, free_name, per_text, set_aside, staged
 from .components import connected_components
 
 SEED, SHINGLE, RADIUS, BLOCK = 42, 3, 3, 16
@@ -225,5 +225,5 @@ def near_groups(docs: DataFrame, keep: list[str] | None = None, id_col: str = "d
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id."""
-    names = docs.columns
-    return near_groups(docs, None, id_col, text_col).where("stays").select(*[col(c) for c in names])
+    docs, back = set_aside(docs, ["fingerprint", "component_id", "stays"])
+    return back(near_groups(docs, None, id_col, text_col).where("stays"))

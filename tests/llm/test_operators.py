@@ -237,6 +237,7 @@ def test_exact_dedup(spark, bits):
 def test_exact_dedup_odd(odd, empty):
     kept = exact_dedup.exact_dedup(odd)
     assert kept.columns == odd.columns and sorted("".join((r.text or "").split())[:9] for r in kept.collect()) == sorted(["", "x", "loremipsu", "loremipsu", "ünïcödé", "a" * 9, "sametexth"])
+    assert all(r.kept == "y" for r in kept.collect())
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
@@ -386,4 +387,6 @@ def dict_root(parent, x):
 def test_near_odd(odd, empty):
     kept = simhash.near_dedup(odd)
     assert kept.columns == odd.columns and kept.count() == 6
+    clash = simhash.near_dedup(odd.withColumnRenamed("score", "stays")).collect()
+    assert len(clash) == 6 and all(r.stays == "x" for r in clash)
     assert simhash.near_dedup(empty).count() == 0
