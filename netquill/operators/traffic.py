@@ -73,3 +73,18 @@ def interfaces(packets: DataFrame) -> DataFrame:
 def default_interface(packets: DataFrame) -> DataFrame:
     """The first interface by name that is not the loopback."""
     return interfaces(packets).where("interface <> 'lo'").orderBy("interface").limit(1)
+
+
+def first_captured(raw: DataFrame, n: int = 0) -> DataFrame:
+    """The first n captured frames in order of arrival, counted before decoding; 0: all."""
+    return raw.orderBy("ts_us", "pkt_id").limit(n) if n else raw
+
+
+def distinct_ports(packets: DataFrame) -> DataFrame:
+    """Different destination ports for each source and destination, at the end."""
+    return packets.where("src_ip is not null and dst_ip is not null and dst_port is not null").groupBy("src_ip", "dst_ip").agg(F.count_distinct("dst_port").alias("ports"))
+
+
+def distinct_hosts(packets: DataFrame) -> DataFrame:
+    """Different destinations for each source and destination port, at the end."""
+    return packets.where("src_ip is not null and dst_ip is not null and dst_port is not null").groupBy("src_ip", "dst_port").agg(F.count_distinct("dst_ip").alias("hosts"))

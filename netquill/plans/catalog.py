@@ -96,6 +96,10 @@ def shares(name: str) -> Column:
     return listed(F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat_ws("=", e["key"], e["value"])))
 
 
+from_packets("distinct_ports", f"{WITH} SELECT src_ip, dst_ip, count(DISTINCT dst_port) AS ports FROM packets WHERE dst_port IS NOT NULL GROUP BY ALL", traffic.distinct_ports)
+from_packets("distinct_hosts", f"{WITH} SELECT src_ip, dst_port, count(DISTINCT dst_ip) AS hosts FROM packets WHERE dst_port IS NOT NULL GROUP BY ALL", traffic.distinct_hosts)
+from_packets("capture_limit", f"{WITH} SELECT pkt_id, ts_us FROM packets ORDER BY ts_us, pkt_id LIMIT 100", lambda p: traffic.first_captured(p, 100).select("pkt_id", "ts_us"))
+
 # Flows.
 
 KEYED_SQL = """
