@@ -70,8 +70,12 @@ def content_hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def segments_of(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments in the texts that stand one after another in t, up to ends: (start, windows, anchor, content)."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
+    """Segments in the texts that stand one after another in t, up to ends: (start, windows, times, anchor, content).
+
+    A text that repeats itself, such as one line over and over, has the same segment many times
+    in a row; that is one segment with a number of times.
+    """
+    none = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), np.zeros(0, U))
     n = len(t)
     if n < WIDTH:
         return none
@@ -90,10 +94,15 @@ def segments_of(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     sizes = np.diff(np.append(edges, windows))
     real = anchor[edges] >= 0
     start, sizes = edges[real], sizes[real]
-    return start, sizes, hashes[anchor[start]], content_hash(p, start, start + sizes + WIDTH - 1)
+    anchors, contents = hashes[anchor[start]], content_hash(p, start, start + sizes + WIDTH - 1)
+    if not len(start):
+        return none
+    same = (contents[1:] == contents[:-1]) & (anchors[1:] == anchors[:-1]) & (sizes[1:] == sizes[:-1]) & (start[1:] == start[:-1] + sizes[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    return start[first], sizes[first], np.diff(np.append(first, len(start))), anchors[first], contents[first]
 
 
-SEGMENT = "id0 bigint, id1 bigint, start bigint, windows int, anchor bigint, content bigint"
+SEGMENT = "id0 bigint, id1 bigint, start bigint, windows int, times int, anchor bigint, content bigint"
 
 
 def segment_rows(keyed: DataFrame) -> DataFrame:
@@ -123,11 +132,11 @@ def segment_rows(keyed: DataFrame) -> DataFrame:
 
     def found(waiting: list[tuple[int, int, bytes]], ids: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         ends = np.cumsum([len(x) for _, _, x in waiting])
-        start, windows, anchor, content = segments_of(np.frombuffer(b"".join(x for *_, x in waiting), np.uint8), ends)
+        start, windows, times, anchor, content = segments_of(np.frombuffer(b"".join(x for *_, x in waiting), np.uint8), ends)
         which = np.searchsorted(ends, start, side="right")
         row = np.array([i for i, _, _ in waiting])[which]
         base = np.array([at for _, at, _ in waiting]) - np.concatenate([[0], ends[:-1]])
-        return ids[0][row], ids[1][row], start + base[which], windows.astype(np.int32), anchor.view(np.int64), content.view(np.int64)
+        return ids[0][row], ids[1][row], start + base[which], windows.astype(np.int32), times.astype(np.int32), anchor.view(np.int64), content.view(np.int64)
 
     return keyed.select("id0", "id1", "text").mapInArrow(run, SEGMENT)
 
@@ -269,7 +278,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = keyed_texts(docs, id_col, text_col)
     segments = staged(segment_rows(keyed), "segments")
     # All columns are taken from the same row of a group.
-    contents = segments.groupBy("anchor", "content").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id0", "id1", "start", "windows")])
+    contents = segments.groupBy("anchor", "content").agg(F.sum("times").alias("n"), *[F.first(c).alias(c) for c in ("id0", "id1", "start", "windows")])
     contents = staged(contents, "contents")
     several = contents.groupBy("anchor").agg(F.count("*").alias("n_contents")).where("n_contents > 1")
     salt = F.pmod(F.col("content"), F.ceil(F.col("n_contents") / crowd))
@@ -282,7 +291,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = loose.where("alone").join(met, ["anchor", "window"]).select("anchor", "content", "first", "last")
     whole = contents.where("n > 1").select("anchor", "content", F.lit(0).alias("first"), F.col("windows").alias("last"))
     ranges = found.where("window is null").select("anchor", "content", "first", "last").union(across).union(whole)
-    places = segments.join(ranges, ["anchor", "content"]).select("id0", "id1", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    # A segment that occurs several times in a row is repeated throughout.
+    begin = F.col("start") + F.when(F.col("times") > 1, 0).otherwise(F.col("first"))
+    end = F.col("start") + F.when(F.col("times") > 1, F.col("windows") * F.col("times")).otherwise(F.col("last"))
+    places = segments.join(ranges, ["anchor", "content"]).select("id0", "id1", begin.alias("first"), end.alias("last"))
     return places.groupBy("id0", "id1").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
