@@ -23,7 +23,8 @@ Equal strings must meet in one shard without any shard holding the corpus:
 Edge cases: a null text is empty; texts under WIDTH bytes have nothing to remove; a text that
 repeats within itself counts, overlaps included; repeated rows are copies of each other, so
 they lose everything from WIDTH bytes on; null doc_ids are told apart by their texts; an empty
-table gives an empty result; extra columns pass.
+table gives an empty result; extra columns pass. Rows that repeat whole count in step 2, but
+their key has one text in step 3 and each range once in step 4, however many rows there are.
 """
 
 from __future__ import annotations
@@ -284,7 +285,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     salt = F.pmod(F.col("content"), F.ceil(F.col("n_contents") / crowd))
     piece = F.struct("anchor", salt.cast("bigint").alias("salt"), "n_contents", "content", "start", "windows")
     wanted = contents.join(several, "anchor").groupBy("id0", "id1").agg(F.collect_list(piece).alias("pieces"))
-    examples = cut_examples(packed_texts(keyed).join(wanted.hint("shuffle_hash"), ["id0", "id1"]))
+    # Rows that repeat whole share a key, and one of them does for all.
+    packed = packed_texts(keyed).groupBy("id0", "id1").agg(F.first("packed").alias("packed"))
+    examples = cut_examples(packed.join(wanted.hint("shuffle_hash"), ["id0", "id1"]))
     found = staged(shard_results(examples.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), crowd), "found")
     loose = found.where("window is not null")
     met = loose.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
@@ -295,7 +298,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     begin = F.col("start") + F.when(F.col("times") > 1, 0).otherwise(F.col("first"))
     end = F.col("start") + F.when(F.col("times") > 1, F.col("windows") * F.col("times")).otherwise(F.col("last"))
     places = segments.join(ranges, ["anchor", "content"]).select("id0", "id1", begin.alias("first"), end.alias("last"))
-    return places.groupBy("id0", "id1").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # A set, as rows that repeat whole give the same places again.
+    return places.groupBy("id0", "id1").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def merged_spans(ranges: list[dict], n_bytes: int) -> list[tuple[int, int]]:

@@ -91,6 +91,26 @@ def test_suffix_dedup_odd(odd, empty):
     assert suffix_dedup.remove_repeats(empty, ["doc_id"]).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = word(700)
+    copied, unnamed = word(900) + shared + word(900), word(500) + shared[:600] + word(800)
+    cut, joined = suffix_dedup.cut_examples, []
+    monkeypatch.setattr(suffix_dedup, "cut_examples", lambda wanted: joined.append(wanted) or cut(wanted))
+
+    def spans(n):
+        texts = [copied] * n + [unnamed] * n + [word(300) + shared[50:] + word(20)]
+        docs = table(spark, texts, ids=[7] * n + [None] * n + [8])
+        got = sorted((r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in suffix_dedup.remove_repeats(docs, ["doc_id"]).collect())
+        assert got == sorted(brute_removal([t.encode() for t in texts]))
+        return sorted(len(r.spans) for r in suffix_dedup.repeated_spans(docs).collect())
+
+    few, many = spans(2), spans(40)
+    assert len(few) == len(many) == 3 and max(many) <= max(few)  # a key's list is bounded by its own text
+    assert all(j.count() == j.select("id0", "id1").distinct().count() for j in joined) and joined[-1].count() > 1
+
+
 # 2: sharding
 
 
