@@ -1,9 +1,9 @@
 """TCP streams put together from segments in order of arrival, for each flow and direction.
 
 A SYN sets the next sequence number; a segment that starts at or before it is emitted from
-there on, later ones wait. A direction keeps at most CAP bytes in its life. Sequence numbers
-compare modulo 2**32; with compat they compare as plain numbers and the closed flag looks at
-SYN or RST, as in some engines.
+there on, later ones wait. A direction keeps at most cap bytes in its life (CAP, or any number
+with None). Sequence numbers compare modulo 2**32; with compat they compare as plain numbers
+and the closed flag looks at SYN or RST, as in some engines.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ EMITTED = "key_a string, port_a int, key_b string, port_b int, fwd boolean, pkt_
 class HalfStream:
     """One direction."""
 
-    def __init__(self, compat: bool = False):
+    def __init__(self, compat: bool = False, cap: int | None = CAP):
+        self.cap = cap
         self.segments: dict[int, bytes] = {}
         self.next, self.total, self.compat, self.closed = 0, 0, compat, False
 
@@ -32,7 +33,7 @@ class HalfStream:
             self.next = (seq + 1) % TURN
         self.closed |= (syn or rst) if self.compat else (fin or rst)
         seq = (seq + 1) % TURN if syn and not self.compat else seq  # data in a SYN comes after it
-        if payload and self.total + len(payload) <= CAP:
+        if payload and (self.cap is None or self.total + len(payload) <= self.cap):
             self.segments[seq] = payload
             self.total += len(payload)
         return self.drain()
@@ -57,23 +58,23 @@ class HalfStream:
         return b"".join(out)
 
 
-def reassemble(packets: DataFrame, compat: bool = False, partitions: int | None = None) -> DataFrame:
+def reassemble(packets: DataFrame, compat: bool = False, partitions: int | None = None, cap: int | None = CAP) -> DataFrame:
     """The bytes that become contiguous with each packet, EMITTED rows.
 
     Rows are sorted by key inside a partition and folded in one pass: memory holds one
-    direction's waiting segments (at most CAP), not a key's packets.
+    direction's waiting segments (at most cap bytes, where there is a cap), not a key's packets.
     """
     p = canonical(packets.where("l4 = 'Tcp'")).select(*KEY, "fwd", "ts_us", "pkt_id", "tcp_seq", "syn", "fin", "rst", F.coalesce("payload", F.lit(bytearray())).alias("payload"))
     by = [*KEY, "fwd"]
     dealt = p.repartition(*([partitions] if partitions else []), *by).sortWithinPartitions(*by, "ts_us", "pkt_id")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stream = None, HalfStream(compat)
+        key, stream = None, HalfStream(compat, cap)
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
                 if (own := (r.key_a, r.port_a, r.key_b, r.port_b, r.fwd)) != key:
-                    key, stream = own, HalfStream(compat)
+                    key, stream = own, HalfStream(compat, cap)
                 data = stream.feed(int(r.tcp_seq), r.syn, r.fin, r.rst, bytes(r.payload))
                 if data:
                     rows.append((*own, r.pkt_id, data))

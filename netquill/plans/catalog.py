@@ -319,7 +319,7 @@ def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("i") < 0, 0).otherwise(F.col("i") * SEGMENT + 1).cast("bigint").alias("tcp_seq"),
         F.when(F.col("i") >= 0, F.substring(F.col("b"), F.greatest(F.col("i"), F.lit(0)) * SEGMENT + 1, F.lit(SEGMENT))).otherwise(F.lit(bytearray())).alias("payload"),
     )
-    emitted = reassembly.reassemble(segments)
+    emitted = reassembly.reassemble(segments, cap=None)  # texts are to come back whole
     whole = emitted.groupBy(F.floor(F.col("pkt_id") / 100_000).cast("bigint").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("pkt_id", F.hex("data").alias("h")))).alias("parts"))
     text = F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), ""))
     return whole.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.md5(text).alias("md5"))

@@ -1,5 +1,6 @@
 """Queries return the whole job on input that the given tables do not have."""
 
+import hashlib
 import ipaddress
 from datetime import datetime
 
@@ -18,3 +19,10 @@ def test_ip6_text_of_any_id(spark, tmp_path):
     ids = [0, 8, 59_999, 60_000, 65_534, 65_535, 65_536, 1_000_000, (1 << 32) - 2, (1 << 32) - 1, 1 << 40, (1 << 48) + 5]
     got = {r.pkt_id: r.ip for r in catalog.QUERIES["ip6_text"](spark, events(spark, tmp_path, ids)).collect()}
     assert got == {i: str(ipaddress.IPv6Address((0x20010DB8 << 96) + i + 1)) for i in ids}
+
+
+def test_reassemble_long_document(spark, tmp_path):
+    texts = ["short", "0123456789" * 150_000, "x" * (1 << 20)]  # one over a stream's default cap, one as long as it
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.md5) for r in catalog.QUERIES["reassemble"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(texts)}
