@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import shared_folder, staged  # noqa: F401  (the operators take them from here)
+
 #: ASCII white space, as the class [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage: when an executor is lost, later stages reread the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/netquill/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.protocols import SEVERITY_RANK, SUSPICIOUS_PORTS, choose, is_connection_start
+from ..functions.staging import placed
 
 ARRIVAL = ["ts_us", "pkt_id"]
 COLUMNS = ["pkt_id", "ts_us", "rule_ord", "rule", "severity", "category", "message", "src_ip", "dst_ip", "src_port", "dst_port"]
@@ -101,8 +102,8 @@ def packet_alerts(packets: DataFrame, syn: int = 200, icmp: int = 500, ports: in
 
 
 def numbered(alerts: DataFrame) -> DataFrame:
-    """alerts with id from 1, in order of arrival and rule. Alerts are few; packets never go this way."""
-    return alerts.withColumn("id", F.row_number().over(Window.orderBy("ts_us", "pkt_id", "rule_ord")).cast("bigint"))
+    """alerts with id from 1, in order of arrival and rule. They are written to the shared folder once."""
+    return placed(alerts, ["ts_us", "pkt_id", "rule_ord"], "id").withColumn("id", (F.col("id") + 1).cast("bigint"))
 
 
 def large_transfer(flows: DataFrame, threshold: int = 100 << 20) -> DataFrame:

@@ -202,7 +202,7 @@ ALL_RULES = " UNION ALL ".join(f"({rule_sql(n)})" for n in RULES_SQL)
 NUMBERED_SQL = f"numbered AS (SELECT *, row_number() OVER (ORDER BY ts_us, pkt_id, rule_ord) AS id FROM ({ALL_RULES}))"
 numbered = lambda p: alerts.numbered(alerts.packet_alerts(p, icmp=200))
 from_packets("alerts_all_ordered", f"{WITH}, {NUMBERED_SQL} SELECT * FROM numbered", numbered)
-from_packets("alerts_severe", f"{WITH}, {NUMBERED_SQL} SELECT severity, count(*) AS alerts FROM numbered WHERE severity IN ('High', 'Critical') GROUP BY severity", lambda p: alerts.at_least(numbered(p), "High").groupBy("severity").agg(F.count("*").alias("alerts")))
+from_packets("alerts_severe", f"{WITH}, {NUMBERED_SQL} SELECT severity, count(*) AS alerts FROM numbered WHERE severity IN ('High', 'Critical') GROUP BY severity", lambda p: alerts.at_least(alerts.packet_alerts(p, icmp=200), "High").groupBy("severity").agg(F.count("*").alias("alerts")))
 LARGE_SQL = "'Large transfer: ' || total_bytes // 1048576 || ' MB in flow ' || ip_a || ':' || port_a || ' → ' || ip_b || ':' || port_b AS message"
 from_packets("alert_large_transfer", f"{WITH_FLOWS} SELECT last_us AS ts_us, {LARGE_SQL}, ip_a AS src_ip, ip_b AS dst_ip, port_a AS src_port, port_b AS dst_port FROM ending WHERE total_bytes >= 4000 AND (older OR end_us <= {NOW_US + 10**9})",
              lambda p: alerts.large_transfer(flows.evicted(flows.flow_table(p), NOW_US + 10**9), 4000).drop("rule", "severity", "category"))
