@@ -7,10 +7,12 @@ interleave in proportion, so every cut into equal parts has the mixture of the w
 The law is `rows`: shards hold counts at most one apart.
 
 No window runs over a whole source or over the whole table. Ranks are found in two steps: rows
-fall into buckets of the hash (then of the fractional rank), whose counts are summed up to
-offsets, and a window ranks rows inside one bucket. The number of buckets follows the number
-of rows, so a bucket keeps the same size, and a source with a third of all rows is spread over
-a third of the buckets. Only the table of counts, one row for each bucket, is summed in order.
+fall into buckets of the hash (then into ranges of the order by fractional rank and source),
+whose counts are summed up to offsets, and a window ranks rows inside one bucket. The number of
+buckets follows the number of rows, so a bucket keeps about the same size, and a source with a
+third of all rows is spread over a third of the buckets. Sources of one row all have the
+fractional rank 1/2; ranges of the whole order part them by source. Only the table of counts,
+one row for each bucket, is summed in order.
 
 Edge cases: a null text has no bytes, so its size is 16 and its checksum 0; a null source is a
 source of its own; null doc_ids and repeated rows are told apart by nothing, and each gets its
@@ -22,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import placed
 from ._common import col, staged
 
 SHARDS = 40
@@ -52,10 +55,7 @@ def interleaved(rows: DataFrame, source: str, shuffled: list[str], total: int) -
     inside = Window.partitionBy(source, "hash_bucket").orderBy(*shuffled)
     ranked = rows.withColumn("rank_here", F.row_number().over(inside)).join(below, [source, "hash_bucket"])
     ranked = ranked.withColumn("fraction", (F.col("rank_here") + F.col("n_below") - F.lit(0.5)) / F.col("n_source")).drop("n_below", "hash_bucket", "rank_here", "n_source")
-    ranked = ranked.withColumn("fraction_bucket", F.floor(F.col("fraction") * buckets))
-    inside = Window.partitionBy("fraction_bucket").orderBy("fraction", source, *shuffled)
-    placed = ranked.withColumn("rank_here", F.row_number().over(inside)).join(offsets(ranked, [], "fraction_bucket"), "fraction_bucket")
-    return placed.withColumn("position", F.col("rank_here") + F.col("n_below") - 1).drop("fraction_bucket", "rank_here", "n_below", "fraction")
+    return placed(ranked, ["fraction", source, *shuffled], "position", buckets).drop("fraction")
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -70,12 +70,12 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17, id_col:
     ).withColumn("shuffle_key", seeded_hash(seed, F.col("doc_id"), F.col("text_crc32")))
     rows = staged(rows, "shard_keys")  # texts are read once; what follows needs these columns only
     total = rows.count()
-    placed = interleaved(rows, "stratum", ["shuffle_key", "doc_id", "text_crc32", "size"], total)
+    ordered = interleaved(rows, "stratum", ["shuffle_key", "doc_id", "text_crc32", "size"], total)
     first, longer = divmod(total, shards)  # the first `longer` shards hold one row more
     edge = longer * (first + 1)
     position = F.col("position")
     shard = F.when(position < edge, F.floor(position / (first + 1))).otherwise(longer + F.floor((position - edge) / max(first, 1)))
     start = F.when(F.col("shard") < longer, F.col("shard") * (first + 1)).otherwise(edge + (F.col("shard") - longer) * first)
-    return placed.withColumn("shard", shard.cast("int")).select(
+    return ordered.withColumn("shard", shard.cast("int")).select(
         "doc_id", F.when(F.col("stratum") != "-", F.expr("substring(stratum, 2)")).alias("source"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", (position - start).cast("bigint").alias("slot")
     )

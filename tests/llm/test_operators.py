@@ -126,6 +126,19 @@ def test_sharding(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in rows} == {(r.doc_id, r.shard, r.slot) for r in again}
 
 
+def test_sharding_of_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_BUCKET", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.createDataFrame([(f"+s{i:04}", i * 7919 % 1000) for i in range(1000)], "stratum string, shuffle_key bigint").repartition(3)
+        got = sharding.interleaved(rows, "stratum", ["shuffle_key"], 1000).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.stratum for r in sorted(got, key=lambda r: r.position)] == [f"+s{i:04}" for i in range(1000)]
+    assert sorted(r.position for r in got) == list(range(1000))
+    assert len({r.task for r in got}) > 1  # all have the same fractional rank
+
+
 def test_sharding_odd(odd, empty):
     rows = sharding.assign_shards(odd, 5).collect()
     assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(5) for i in range(3 if s < 2 else 2)]
