@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..functions.staging import shared_folder, staged  # noqa: F401  (the operators take them from here)
 
@@ -35,6 +36,12 @@ def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[Dat
     return df.withColumnsRenamed(moved), lambda got: got.select(*[col(moved.get(c, c)).alias(c) for c in own])
 
 
+def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under names that hold no dots and clash with none inside an operator, and the new name of each old one in lower case."""
+    names = {c.lower(): f"nq_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*[f"nq_c{i}" for i in range(len(df.columns))]), names
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; an id that is null counts as 0."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n)), F.lit(0)).cast("int")
@@ -56,31 +63,21 @@ def per_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list[bytes
     Output batches hold a slice of each input batch, so that memory stays bounded by the
     largest text rather than by the number of rows.
     """
-    names = [x.strip().split()[0].strip("`") for x in split_schema(schema)]
-    keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out_schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [schema])
+    added = DataType.fromDDL(schema)
+    names = [f.name for f in added]
+    keep = [c for c in dict.fromkeys(keep) if c.lower() not in {n.lower() for n in names}]
+    plain, at = sheltered(df)
+    places, text_at = [at[c.lower()] for c in keep], at[text_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in by_bytes(batch, text_col):
-                columns = [part.column(c) for c in keep] + work(texts_of(part.column(text_col)))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
-
-    return df.select(*[col(c) for c in dict.fromkeys([*keep, text_col])]).mapInArrow(run, out_schema)
-
-
-def split_schema(schema: str) -> list[str]:
-    """The fields of a DDL string, cut at commas outside angle brackets."""
-    out, depth = [""], 0
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+            for part in by_bytes(batch, text_at):
+                columns = [part.column(c) for c in places] + work(texts_of(part.column(text_at)))
+                yield pa.RecordBatch.from_arrays(columns, names=[*places, *names])
+
+    got = plain.select(*dict.fromkeys([*places, text_at])).mapInArrow(run, StructType([*(plain.schema[c] for c in places), *added]))
+    return got.select(*[F.col(p).alias(c) for c, p in zip(keep, places, strict=True)], *[col(n) for n in names])
 
 
 def by_bytes(batch: pa.RecordBatch, text_col: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -31,8 +31,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-from ._common import WHITE, by_bytes, col, free_name, set_aside, staged, texts_of
+from ._common import WHITE, by_bytes, set_aside, sheltered, staged, texts_of
 
 MEMTABLE_ROWS = 4096
 MOST_RUNS = 4
@@ -102,12 +103,11 @@ class DigestIndex:
         return sorted((e for r in self.runs for e in r.entries), key=lambda e: e[0])
 
 
-def with_keys(docs: DataFrame, id_col: str, text_col: str, names: dict[str, str], digest_bits: int) -> DataFrame:
+def with_keys(docs: DataFrame, text_col: str, digest_bits: int) -> DataFrame:
     """docs with the row number, code points, SHA-256, digest and packed normalised text."""
     from pyspark import TaskContext
 
-    fields = [f"{names['row']} bigint", f"{names['points']} bigint", f"{names['sha']} binary", f"{names['digest']} bigint", f"{names['packed']} binary"]
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = DataType.fromDDL("row bigint, points bigint, sha binary, digest bigint, packed binary")
     text_at = docs.columns.index(text_col)
     mask = (1 << digest_bits) - 1
 
@@ -122,10 +122,10 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str, names: dict[str, str]
                 points = pa.compute.utf8_length(pa.array(texts, pa.binary()).cast(pa.string())).cast(pa.int64())
                 added = [pa.array(range(row, row + len(texts)), pa.int64()), points, pa.array(shas, pa.binary()), pa.array(digests, pa.int64()), pa.array([pack.compress(t) for t in plain], pa.binary())]
                 row += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*docs_columns, *names.values()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*docs_columns, *fields.names])
 
     docs_columns = docs.columns
-    return docs.mapInArrow(run, ", ".join([kinds, *fields]))
+    return docs.mapInArrow(run, StructType([*docs.schema, *fields]))
 
 
 ENTRY = "digest bigint, packed binary, sha binary, points bigint, keep_id bigint, keep_row bigint, group_size bigint"
@@ -160,13 +160,14 @@ def merged(rows: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256 (any columns of these names are replaced)."""
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    names = {k: free_name(docs, f"nq_{k}") for k in ("row", "points", "sha", "digest", "packed")}
-    keyed = staged(with_keys(docs, id_col, text_col, names, digest_bits), "exact_keys")
-    rows = keyed.select(*[col(names[k]).alias(k) for k in ("digest", "packed", "sha", "points")], col(id_col).cast("bigint").alias("keep_id"), col(names["row"]).alias("keep_row"), F.lit(1).cast("bigint").alias("group_size"))
+    own = docs.columns
+    docs, at = sheltered(docs)
+    id_at = at[id_col.lower()]
+    keyed = staged(with_keys(docs, at[text_col.lower()], digest_bits), "exact_keys")
+    rows = keyed.select("digest", "packed", "sha", "points", F.col(id_at).cast("bigint").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("bigint").alias("group_size"))
     entries = merged(merged(rows).repartition("digest"))
-    index = entries.select(F.col("sha").alias("nq_index_sha"), "keep_id", "keep_row", "group_size")
-    return keyed.join(index, col(names["sha"]) == F.col("nq_index_sha")).select(
-        *[col(c) for c in docs.columns], "keep_id", "group_size", (F.col("keep_row") == col(names["row"])).alias("kept"), F.lower(F.hex(col(names["sha"]))).alias("text_sha256")
+    return keyed.join(entries.select("sha", "keep_id", "keep_row", "group_size"), "sha").select(
+        *[F.col(at[c.lower()]).alias(c) for c in own], "keep_id", "group_size", (F.col("keep_row") == F.col("row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 

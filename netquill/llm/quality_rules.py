@@ -1,18 +1,21 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
-Each rule rejects a text whose measure is above a cutoff. Cutoffs are not set by hand: for
-each stratum (language) the texts labelled good are a holdout, and a cutoff is certified only
-if an exact binomial test shows that it rejects at most RISK / number of rules of the good
-texts. The p-value is P(Binomial(n, risk) <= rejected good texts). A rule's cutoffs are tested
-from the most lenient to the strictest, stopping at the first that fails (a fixed sequence
-needs no correction inside it), at the level CONFIDENCE / (rules x strata), Bonferroni's
-correction for the sequences. So with probability 1 - CONFIDENCE no stratum loses more than
-RISK of its good texts. Of the certified cutoffs the one that rejects the most bad texts, less
-the share of good ones, is used; a rule that gains nothing, or a stratum with too few labels,
-rejects nothing beyond the base rules.
-
-All labelled rows count, at any size; what is gathered is one row for each stratum, rule and
-cutoff. Measures are computed within each row (no shuffle of words), and written once.
+The rules tighten together: at step i of one fixed sequence a text is rejected if any of its
+measures is above that rule's cutoff i, so each step rejects what the one before it does and
+more. Cutoffs are not set by hand: for each stratum (language) the texts labelled good are a
+holdout, and a step is certified only if an exact binomial test shows that it rejects at most
+RISK of the good texts of that stratum. The p-value is P(Binomial(n, risk) <= rejected good
+texts). Steps are tested from the most lenient on, stopping at the first that fails, which
+needs no correction inside a stratum. Across strata Holm's procedure corrects: a stratum whose
+whole sequence passes at its level hands that level on, and the others share CONFIDENCE
+alike (closed testing by the first true step of each stratum). So with probability 1 -
+CONFIDENCE no stratum loses more than RISK of its good texts. Of the certified steps the one
+that rejects the most bad texts, less the share of good ones, is used, the most lenient of
+equals; a stratum where no step gains, or with too few labels (22 good ones are the least that
+certify anything, in a single stratum), rejects nothing beyond the base rules.
+
+All labelled rows count, at any size; what is gathered is one row for each stratum and
+step. Measures are computed within each row (no shuffle of words), and written once.
 
 Edge cases: a null text has no words and so fails the base rules, like an empty one; a null
 language is a stratum of its own; repeated rows each get the same verdict; with no labels, or
@@ -29,16 +32,20 @@ from pyspark.sql import functions as F
 
 from ._common import col, staged
 
-RISK, CONFIDENCE = 0.02, 0.05
+#: The most that a stratum may lose of its good texts, and the probability that one loses more.
+RISK, CONFIDENCE = 0.1, 0.05
 MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
-#: Rule: (measure as an SQL expression, cutoffs from lenient to strict).
+#: Rule: (measure as an SQL expression, its cutoff at each step, from lenient to strict).
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / greatest(n_words, 1)", [4.0, 3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1]),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.18, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04]),
-    "long_words": ("word_chars / greatest(n_words, 1)", [24.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0]),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2]),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.36, 0.33, 0.3]),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.19, 0.18, 0.17, 0.16, 0.15, 0.14, 0.13, 0.12, 0.11, 0.1]),
+    "long_words": ("word_chars / greatest(n_words, 1)", [24.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.5, 11.0, 10.5, 10.0]),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2]),
 }
+STEPS = range(len(RULES["symbols"][1]))
+#: The first step that rejects a text, as SQL for Spark and DuckDB alike; null if none does.
+FIRST_STEP = "CASE " + " ".join(f"WHEN {' OR '.join(f'{m} > {cuts[i]}D' for m, cuts in RULES.values())} THEN {i}" for i in STEPS) + " END"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,43 +115,40 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, label_col: str = "quality") -> DataFrame:
-    """For each stratum one row with the chosen cutoff of each rule (null: the rule is off)."""
+    """(stratum, cut_step) for each stratum where a certified step gains."""
     marks = labels.select(col("doc_id").cast("bigint").alias("doc_id"), col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    held = rows.where(~F.col("base_failed")).join(marks, "doc_id")
+    held = rows.where(~F.col("base_failed")).join(marks, "doc_id").select("stratum", "label", F.expr(FIRST_STEP).alias("first"))
+    within = lambda v, i: F.count(F.when((F.col("label") == v) & (F.col("first") <= i), 1))
     counts = [F.count(F.when(F.col("label") == v, 1)).alias(name) for v, name in ((1, "good"), (0, "bad"))]
-    for name, (measure, steps) in RULES.items():
-        counts += [F.count(F.when((F.col("label") == v) & (F.expr(measure) > F.lit(t)), 1)).alias(f"{name}_{i}_{v}") for i, t in enumerate(steps) for v in (1, 0)]
-    table = held.groupBy("stratum").agg(*counts)
-    cells = [F.struct(F.lit(name).alias("rule"), F.lit(i).alias("step"), F.lit(t).alias("cutoff"), F.col(f"{name}_{i}_1").alias("lost"), F.col(f"{name}_{i}_0").alias("caught")) for name, (_, steps) in RULES.items() for i, t in enumerate(steps)]
-    n_strata = table.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
-    flat = table.select("stratum", "good", "bad", F.explode(F.array(*cells)).alias("c")).select("stratum", "good", "bad", "c.*").join(F.broadcast(n_strata))  # one row
-    p_value = binomial_tail(F.col("lost"), F.col("good"), risk / len(RULES))
-    flat = flat.withColumn("passes", (p_value <= F.lit(confidence / len(RULES)) / F.col("n_strata")).cast("int"))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    certified = flat.withColumn("certified", F.min("passes").over(so_far)).where("certified = 1")
-    gain = F.col("caught") / F.greatest(F.col("bad"), F.lit(1)) - F.col("lost") / F.greatest(F.col("good"), F.lit(1))
-    best = certified.withColumn("gain", gain).where("gain > 0").groupBy("stratum", "rule").agg(F.min_by("cutoff", F.struct(-F.col("gain"), F.col("step"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in RULES])
+    table = held.groupBy("stratum").agg(*counts, *[within(v, i).alias(f"step_{i}_{v}") for i in STEPS for v in (1, 0)]).where("good > 0")
+    p_of = lambda i: binomial_tail(F.col(f"step_{i}_1"), F.col("good"), risk)
+    # One row a stratum from here. Losses grow by step, so the last step has a sequence's greatest p-value.
+    every, by_p = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("p_last", "stratum")
+    table = table.withColumn("p_last", p_of(STEPS[-1]))
+    table = table.withColumn("open", F.count("*").over(every) - F.row_number().over(by_p) + 1)
+    table = table.withColumn("whole", F.min((F.col("p_last") <= F.lit(confidence) / F.col("open")).cast("int")).over(by_p.rowsBetween(Window.unboundedPreceding, 0)))
+    table = table.withColumn("level", F.when(F.col("whole") == 1, F.lit(1.0)).otherwise(F.lit(confidence) / F.sum(1 - F.col("whole")).over(every)))
+    cells = [F.struct(F.lit(i).alias("step"), p_of(i).alias("p"), F.col(f"step_{i}_1").alias("lost"), F.col(f"step_{i}_0").alias("caught")) for i in STEPS]
+    flat = table.select("stratum", "good", "bad", "level", F.explode(F.array(*cells)).alias("c")).select("stratum", "good", "bad", "level", "c.*")
+    # p-values grow by step, so all steps up to the first failure are those that pass.
+    gain = F.col("caught") / F.greatest(F.col("bad"), F.lit(1)) - F.col("lost") / F.col("good")
+    return flat.where("p <= level").withColumn("gain", gain).where("gain > 0").groupBy("stratum").agg(F.min_by("step", F.struct(-F.col("gain"), F.col("step"))).alias("cut_step"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """doc_id, the counts, base_failed and kept, for each row of docs."""
+    """doc_id, the counts, base_failed, kept, and the step that rejects and the stratum's own, for each row of docs."""
     rows = staged(measured(docs, id_col, text_col, stratum_col), "measures")
-    rejected = F.lit(False)
-    for name, (measure, _) in RULES.items():
-        rejected = rejected | F.coalesce(F.expr(measure) > F.col(f"cut_{name}"), F.lit(False))
+    first = F.expr(FIRST_STEP)
     return rows.join(cutoffs(rows, labels, risk, confidence), "stratum", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "n_lines", "n_capitals"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(first <= F.col("cut_step"), F.lit(False))).alias("kept"), "n_lines", "n_capitals", first.alias("first_step"), "cut_step"
     )
 
 
 def rules_sql() -> str:
     """The same for DuckDB, over views documents and labels."""
-    risk = RISK / len(RULES)
-    counts = ", ".join(f"count(*) FILTER (label = {v} AND {m} > {t!r}) AS {name}_{i}_{v}" for name, (m, steps) in RULES.items() for i, t in enumerate(steps) for v in (1, 0))
-    cells = " UNION ALL ".join(f"SELECT stratum, good, bad, '{name}' AS rule, {i} AS step, {t!r}::DOUBLE AS cutoff, {name}_{i}_1 AS lost, {name}_{i}_0 AS caught FROM counts" for name, (_, steps) in RULES.items() for i, t in enumerate(steps))
-    rejected = " OR ".join(f"coalesce({m} > cut_{name}, false)" for name, (m, _) in RULES.items())
-    pivot = ", ".join(f"max(cutoff) FILTER (rule = '{name}') AS cut_{name}" for name in RULES)
+    first = FIRST_STEP.replace("D ", "::DOUBLE ")
+    counts = ", ".join(f"count(*) FILTER (label = {v} AND first_step <= {i}) AS step_{i}_{v}" for i in STEPS for v in (1, 0))
+    cells = " UNION ALL ".join(f"SELECT stratum, good, bad, {i} AS step, step_{i}_1 AS lost, step_{i}_0 AS caught FROM counts WHERE good > 0" for i in STEPS)
     return rf"""
 WITH docs AS (
     SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || lang, '-') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -161,23 +165,23 @@ measures AS (
         (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
     FROM docs JOIN words USING (rid) JOIN lines USING (rid) LEFT JOIN repeats USING (rid)),
-rows AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM measures),
+rows AS (
+    SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed, ({first})::INTEGER AS first_step
+    FROM measures),
 marks AS (SELECT doc_id, min(quality) AS label FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
 counts AS (
     SELECT stratum, count(*) FILTER (label = 1) AS good, count(*) FILTER (label = 0) AS bad, {counts}
     FROM rows JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
 cells AS ({cells}),
 tested AS (
-    SELECT *, CASE WHEN lost > good * {risk!r} THEN 1.0 ELSE list_sum(list_transform(range(0, lost + 1),
-        lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({risk!r}) + (good - i) * ln({1 - risk!r})))) END AS p
+    SELECT *, CASE WHEN lost > good * {RISK!r} THEN 1.0 ELSE list_sum(list_transform(range(0, lost + 1),
+        lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({RISK!r}) + (good - i) * ln({1 - RISK!r})))) END AS p
     FROM cells),
-certified AS (
-    SELECT *, min(CASE WHEN p <= {CONFIDENCE / len(RULES)!r} / (SELECT greatest(count(*), 1) FROM counts) THEN 1 ELSE 0 END)
-        OVER (PARTITION BY stratum, rule ORDER BY step) AS ok,
-        caught / greatest(bad, 1) - lost / greatest(good, 1) AS gain
-    FROM tested),
-best AS (SELECT stratum, rule, arg_max(cutoff, (gain, -step)) AS cutoff FROM certified WHERE ok = 1 AND gain > 0 GROUP BY stratum, rule),
-cuts AS (SELECT stratum, {pivot} FROM best GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept, n_lines, n_capitals
+opened AS (SELECT stratum, p, count(*) OVER () - row_number() OVER (ORDER BY p, stratum) + 1 AS open FROM tested WHERE step = {STEPS[-1]}),
+holm AS (SELECT stratum, min(CASE WHEN p <= {CONFIDENCE!r} / open THEN 1 ELSE 0 END) OVER (ORDER BY p, stratum ROWS UNBOUNDED PRECEDING) AS whole FROM opened),
+levels AS (SELECT stratum, CASE WHEN whole = 1 THEN 1.0 ELSE {CONFIDENCE!r} / sum(1 - whole) OVER () END AS level FROM holm),
+certified AS (SELECT stratum, step, caught / greatest(bad, 1) - lost / good AS gain FROM tested JOIN levels USING (stratum) WHERE p <= level),
+cuts AS (SELECT stratum, arg_max(step, (gain, -step))::INTEGER AS cut_step FROM certified WHERE gain > 0 GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(first_step <= cut_step, false) AS kept, n_lines, n_capitals, first_step, cut_step
 FROM rows LEFT JOIN cuts USING (stratum)
 """

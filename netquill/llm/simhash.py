@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, free_name, per_text, set_aside, staged
+from ._common import per_text, set_aside, sheltered, staged
 from .components import connected_components
 
 SEED, SHINGLE, RADIUS, BLOCK = 42, 3, 3, 16
@@ -207,19 +207,20 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns in keep (all by default), fingerprint, component_id and stays (true for one row of each group)."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("fingerprint", "component_id", "stays")]
-    fp, row = free_name(docs, "nq_fp"), free_name(docs, "nq_row")
-    base = staged(with_fingerprints(docs, fp, list(dict.fromkeys([*keep, id_col])), text_col).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
-    doc_id = col(id_col).cast("bigint")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id", "stays")]
+    docs, at = sheltered(docs)
+    places, id_at = [at[c.lower()] for c in keep], at[id_col.lower()]
+    base = staged(with_fingerprints(docs, "fp", list(dict.fromkeys([*places, id_at])), at[text_col.lower()]).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    doc_id = F.col(id_at).cast("bigint")
     # Nulls sort first in a struct, so the flag puts them last.
-    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), col(row).alias("row"))).alias("first")
-    distinct = staged(base.groupBy(col(fp).alias("fp")).agg(first), "distinct")
+    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("row"))).alias("first")
+    distinct = staged(base.groupBy("fp").agg(first), "distinct")
     roots = connected_components(fingerprint_links(distinct))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    group = rooted.join(best, "root").select(F.col("fp").alias("nq_group"), F.col("best.id").alias("component_id"), F.col("best.row").alias("nq_best"))
-    return base.join(group, col(fp) == F.col("nq_group")).select(
-        *[col(c) for c in keep], F.lower(F.lpad(F.hex(col(fp)), 16, "0")).alias("fingerprint"), "component_id", (col(row) == F.col("nq_best")).alias("stays")
+    group = rooted.join(best, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.row").alias("best_row"))
+    return base.join(group, "fp").select(
+        *[F.col(p).alias(c) for c, p in zip(keep, places, strict=True)], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row") == F.col("best_row")).alias("stays")
     )
 
 

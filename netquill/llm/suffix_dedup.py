@@ -1,29 +1,31 @@
 """Removal of repeated byte strings, found with suffix arrays over content-dealt shards.
 
-Every byte covered by a string of WIDTH bytes that also starts anywhere else is removed. Texts
+Every byte covered by a string of `width` bytes (WIDTH by default) that also starts anywhere
+else is removed. With least_words, only removed runs that hold so many words count, which asks
+for passages of a number of words: width is then the fewest bytes such a passage may have. Texts
 are whole UTF-8 texts; matches never cross texts; strings are judged on the input.
 
 Equal strings must meet in one shard without any shard holding the corpus:
 
-1. Every window of WIDTH bytes has an anchor, the piece of PIECE bytes in it with the smallest
-   hash. Windows in a row with the same anchor form a segment; on average a segment has about
-   140 windows. Equal windows have equal anchors, so only segments whose anchors have the same
+1. Every window of `width` bytes has an anchor, the piece in it (128 bytes of 400) with the
+   smallest hash. Windows in a row with the same anchor form a segment; on average a segment of
+   400-byte windows has about 140. Equal windows have equal anchors, so only segments whose anchors have the same
    hash need be compared. Segments are written as narrow rows (hashes and places, no text).
 2. A segment whose whole content occurs twice is repeated throughout. Counting contents is an
    aggregation with a partial step, so texts copied thousands of times cost a row a task.
 3. Anchors with several different contents go on: one example of each content is cut from its
    text (texts travel compressed, once) and shuffled by anchor. Shards of about SHARD_BYTES get
    a suffix array by induced sorting and permuted common prefixes (see suffix_array.py); a
-   window that shares WIDTH bytes with a neighbour in the array is repeated. An anchor with
+   window that shares `width` bytes with a neighbour in the array is repeated. An anchor with
    more than CROWD contents is dealt out over several shards; windows that stay alone in
    theirs are then matched across shards by a hash of the window, in one more shuffle.
 4. The repeated windows go back to all places of their segments, and from there to the texts,
    where runs are merged and cut out.
 
-Edge cases: a null text is empty; texts under WIDTH bytes have nothing to remove; a text that
+Edge cases: a null text is empty; texts under `width` bytes have nothing to remove; a text that
 repeats within itself counts, overlaps included; repeated rows are copies of each other, so
-they lose everything from WIDTH bytes on; null doc_ids are told apart by their texts; an empty
-table gives an empty result; extra columns pass. Rows that repeat whole count in step 2, but
+they lose everything from `width` bytes on; null doc_ids are told apart by their texts; an empty
+table gives an empty result; extra columns of any name pass. Rows that repeat whole count in step 2, but
 their key has one text in step 3 and each range once in step 4, however many rows there are.
 """
 
@@ -31,29 +33,54 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-from ._common import by_bytes, col, free_name, staged, texts_of
+from ._common import by_bytes, col, sheltered, staged, texts_of
 from .suffix_array import common_prefixes, suffix_array
 
-WIDTH, PIECE = 400, 128
-#: Pieces in a window.
-SPAN = WIDTH - PIECE + 1
+WIDTH = 400
 SHARD_BYTES, CROWD = 2 << 20, 8192
 #: Bytes that are searched for anchors at a time; places in such a part have PLACE_BITS bits.
 PLACE_BITS = 19
-PART_BYTES = (1 << PLACE_BITS) - WIDTH
+#: What remove_repeats adds.
+ADDED = ("n_bytes", "n_removed", "spans", "kept_bytes", "kept_text")
+
+
+class Size(NamedTuple):
+    """Bytes of a window and of an anchor."""
+
+    width: int
+    piece: int
+
+    @property
+    def span(self) -> int:
+        """Pieces in a window."""
+        return self.width - self.piece + 1
+
+    @property
+    def part(self) -> int:
+        return (1 << PLACE_BITS) - self.width
+
+
+def size_of(width: int) -> Size:
+    """Long anchors are seldom shared by chance, short ones leave longer segments: both where the width allows it."""
+    if not 2 <= width <= 1 << (PLACE_BITS - 2):
+        raise ValueError(f"width must be from 2 to {1 << (PLACE_BITS - 2)}, not {width}")
+    return Size(width, min(128, max(width - 272, 48), width // 2))
+
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
-POWERS = np.cumprod(np.concatenate([[U(1)], np.full((1 << PLACE_BITS) + WIDTH, U(BASE))]), dtype=U)
-BACK_POWERS = np.cumprod(np.concatenate([[U(1)], np.full((1 << PLACE_BITS) + WIDTH, U(BACK))]), dtype=U)
+POWERS = np.cumprod(np.concatenate([[U(1)], np.full(1 << PLACE_BITS, U(BASE))]), dtype=U)
+BACK_POWERS = np.cumprod(np.concatenate([[U(1)], np.full(1 << PLACE_BITS, U(BACK))]), dtype=U)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -70,32 +97,32 @@ def content_hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed((p[b] - p[a]) * BACK_POWERS[a] + (b - a).astype(U) * U(0xA0761D6478BD642F))
 
 
-def segments_of(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def segments_of(t: np.ndarray, ends: np.ndarray, size: Size) -> tuple[np.ndarray, ...]:
     """Segments in the texts that stand one after another in t, up to ends: (start, windows, times, anchor, content).
 
     A text that repeats itself, such as one line over and over, has the same segment many times
     in a row; that is one segment with a number of times.
     """
     none = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), np.zeros(0, U))
-    n = len(t)
-    if n < WIDTH:
+    n, (width, piece), span = len(t), size, size.span
+    if n < width:
         return none
     p = prefix_hashes(t)
-    hashes = mixed((p[PIECE:] - p[:-PIECE]) * BACK_POWERS[: n - PIECE + 1])
+    hashes = mixed((p[piece:] - p[:-piece]) * BACK_POWERS[: n - piece + 1])
     keys = hashes >> U(PLACE_BITS) << U(PLACE_BITS) | np.arange(len(hashes), dtype=U)
-    # Least key of every SPAN in a row: from blocks of SPAN, the least to the left and to the right.
-    blocks = np.concatenate([keys, np.full(-len(keys) % SPAN, U(2**64 - 1))]).reshape(-1, SPAN)
+    # Least key of every span in a row: from blocks of it, the least to the left and to the right.
+    blocks = np.concatenate([keys, np.full(-len(keys) % span, U(2**64 - 1))]).reshape(-1, span)
     right = np.minimum.accumulate(blocks, axis=1).ravel()
     left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - WIDTH + 1
-    anchor = (np.minimum(left[:windows], right[SPAN - 1 : SPAN - 1 + windows]) & U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    windows = n - width + 1
+    anchor = (np.minimum(left[:windows], right[span - 1 : span - 1 + windows]) & U((1 << PLACE_BITS) - 1)).astype(np.int64)
     limit = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[:windows]  # the end of the text a window starts in
-    anchor[np.arange(windows) + WIDTH > limit] = -1
+    anchor[np.arange(windows) + width > limit] = -1
     edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     sizes = np.diff(np.append(edges, windows))
     real = anchor[edges] >= 0
     start, sizes = edges[real], sizes[real]
-    anchors, contents = hashes[anchor[start]], content_hash(p, start, start + sizes + WIDTH - 1)
+    anchors, contents = hashes[anchor[start]], content_hash(p, start, start + sizes + width - 1)
     if not len(start):
         return none
     same = (contents[1:] == contents[:-1]) & (anchors[1:] == anchors[:-1]) & (sizes[1:] == sizes[:-1]) & (start[1:] == start[:-1] + sizes[:-1])
@@ -106,7 +133,7 @@ def segments_of(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 SEGMENT = "id0 bigint, id1 bigint, start bigint, windows int, times int, anchor bigint, content bigint"
 
 
-def segment_rows(keyed: DataFrame) -> DataFrame:
+def segment_rows(keyed: DataFrame, size: Size) -> DataFrame:
     """Of (id0, id1, text): all segments with the row's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,17 +141,17 @@ def segment_rows(keyed: DataFrame) -> DataFrame:
             for part in by_bytes(batch):
                 out = []
                 ids = [part.column(i).to_numpy() for i in (0, 1)]
-                waiting, size = [], 0
+                waiting, held = [], 0
                 for i, text in enumerate(texts_of(part.column(2))):
-                    if len(text) < WIDTH:
+                    if len(text) < size.width:
                         continue
-                    for at in range(0, max(1, len(text) - WIDTH + 1), PART_BYTES):
-                        piece = text[at : at + PART_BYTES + WIDTH - 1]
-                        if size + len(piece) > PART_BYTES + WIDTH - 1:
+                    for at in range(0, max(1, len(text) - size.width + 1), size.part):
+                        piece = text[at : at + size.part + size.width - 1]
+                        if held + len(piece) > size.part + size.width - 1:
                             out.append(found(waiting, ids))
-                            waiting, size = [], 0
+                            waiting, held = [], 0
                         waiting.append((i, at, piece))
-                        size += len(piece)
+                        held += len(piece)
                 if waiting:
                     out.append(found(waiting, ids))
                 if out:
@@ -133,7 +160,7 @@ def segment_rows(keyed: DataFrame) -> DataFrame:
 
     def found(waiting: list[tuple[int, int, bytes]], ids: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         ends = np.cumsum([len(x) for _, _, x in waiting])
-        start, windows, times, anchor, content = segments_of(np.frombuffer(b"".join(x for *_, x in waiting), np.uint8), ends)
+        start, windows, times, anchor, content = segments_of(np.frombuffer(b"".join(x for *_, x in waiting), np.uint8), ends, size)
         which = np.searchsorted(ends, start, side="right")
         row = np.array([i for i, _, _ in waiting])[which]
         base = np.array([at for _, at, _ in waiting]) - np.concatenate([[0], ends[:-1]])
@@ -142,7 +169,7 @@ def segment_rows(keyed: DataFrame) -> DataFrame:
     return keyed.select("id0", "id1", "text").mapInArrow(run, SEGMENT)
 
 
-def repeated_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the windows of all texts, in order: (text, start in it, number of its class); equal windows share a class."""
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
@@ -153,21 +180,21 @@ def repeated_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     sa = suffix_array(s, 258)
     shared = common_prefixes(s, sa)
     window = np.zeros(len(s), bool)
-    counts = np.maximum(sizes - WIDTH + 1, 0)
+    counts = np.maximum(sizes - width + 1, 0)
     owner = np.repeat(np.arange(len(texts)), counts)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     place = starts[owner] + offset
     window[place] = True
-    # Windows hold no border, so a common prefix of WIDTH joins windows to windows only.
+    # Windows hold no border, so a common prefix of width joins windows to windows only.
     number = np.empty(len(s), np.int64)
-    number[sa] = np.cumsum(shared < WIDTH)
+    number[sa] = np.cumsum(shared < width)
     return owner, offset, number[place]
 
 
 FOUND = "anchor bigint, content bigint, first int, last int, window bigint, alone boolean"
 
 
-def shard_results(examples: DataFrame, crowd: int) -> DataFrame:
+def shard_results(examples: DataFrame, crowd: int, width: int) -> DataFrame:
     """Of (anchor, salt, n_contents, content, piece), sorted by anchor and salt: repeated ranges, and the windows of crowded anchors.
 
     Rows with window null are ranges [first, last) of repeated windows of a content. Rows with
@@ -177,7 +204,7 @@ def shard_results(examples: DataFrame, crowd: int) -> DataFrame:
 
     def solve(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         texts = [r[4] for r in rows]
-        owner, offset, number = repeated_windows(texts)
+        owner, offset, number = repeated_windows(texts, width)
         count = np.bincount(number, minlength=1)
         again = count[number] > 1
         edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
@@ -199,7 +226,7 @@ def shard_results(examples: DataFrame, crowd: int) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             joined = np.frombuffer(b"".join(texts), np.uint8)
             place, alone = starts[owner[here]] + offset[here], count[number[here]] == 1
-            hashes = np.array([int.from_bytes(hashlib.blake2b(joined[p : p + WIDTH].tobytes(), digest_size=8).digest(), "little", signed=True) for p in place.tolist()], np.int64)
+            hashes = np.array([int.from_bytes(hashlib.blake2b(joined[p : p + width].tobytes(), digest_size=8).digest(), "little", signed=True) for p in place.tolist()], np.int64)
             who, at = owner[here], offset[here].astype(np.int32)
             yield batch(anchors[who], contents[who], at, at + np.int32(1), hashes, alone)
 
@@ -228,7 +255,7 @@ def shard_results(examples: DataFrame, crowd: int) -> DataFrame:
     return examples.mapInArrow(run, FOUND)
 
 
-def packed_texts(keyed: DataFrame) -> DataFrame:
+def packed_texts(keyed: DataFrame, width: int) -> DataFrame:
     """(id0, id1, packed): texts compressed for the shuffle; short texts are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +265,11 @@ def packed_texts(keyed: DataFrame) -> DataFrame:
                 packed = pa.array([pack.compress(t) for t in texts_of(part.column(2))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], names=["id0", "id1", "packed"])
 
-    long = keyed.where(F.octet_length("text") >= WIDTH)
+    long = keyed.where(F.octet_length("text") >= width)
     return long.select("id0", "id1", "text").mapInArrow(run, "id0 bigint, id1 bigint, packed binary")
 
 
-def cut_examples(wanted: DataFrame) -> DataFrame:
+def cut_examples(wanted: DataFrame, width: int) -> DataFrame:
     """Of (packed, list of pieces): one row for each piece, with its bytes."""
     schema = "anchor bigint, salt bigint, n_contents bigint, content bigint, piece binary"
 
@@ -253,7 +280,7 @@ def cut_examples(wanted: DataFrame) -> DataFrame:
             for packed, pieces in zip(batch.column(0), batch.column(1), strict=True):
                 text = unpack.decompress(packed.as_py())
                 for p in pieces.as_py():
-                    out.append((p["anchor"], p["salt"], p["n_contents"], p["content"], text[p["start"] : p["start"] + p["windows"] + WIDTH - 1]))
+                    out.append((p["anchor"], p["salt"], p["n_contents"], p["content"], text[p["start"] : p["start"] + p["windows"] + width - 1]))
                     size += len(out[-1][4])
                 if size > 4 << 20:
                     yield rows(out)
@@ -274,10 +301,10 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(0)).cast("bigint").alias("id0"), F.xxhash64(doc_id, text).alias("id1"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, width: int = WIDTH) -> DataFrame:
     """(id0, id1, spans): for each row key the ranges [first, last) of windows that are repeated."""
     keyed = keyed_texts(docs, id_col, text_col)
-    segments = staged(segment_rows(keyed), "segments")
+    segments = staged(segment_rows(keyed, size_of(width)), "segments")
     # All columns are taken from the same row of a group.
     contents = segments.groupBy("anchor", "content").agg(F.sum("times").alias("n"), *[F.first(c).alias(c) for c in ("id0", "id1", "start", "windows")])
     contents = staged(contents, "contents")
@@ -286,9 +313,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     piece = F.struct("anchor", salt.cast("bigint").alias("salt"), "n_contents", "content", "start", "windows")
     wanted = contents.join(several, "anchor").groupBy("id0", "id1").agg(F.collect_list(piece).alias("pieces"))
     # Rows that repeat whole share a key, and one of them does for all.
-    packed = packed_texts(keyed).groupBy("id0", "id1").agg(F.first("packed").alias("packed"))
-    examples = cut_examples(packed.join(wanted.hint("shuffle_hash"), ["id0", "id1"]))
-    found = staged(shard_results(examples.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), crowd), "found")
+    packed = packed_texts(keyed, width).groupBy("id0", "id1").agg(F.first("packed").alias("packed"))
+    examples = cut_examples(packed.join(wanted.hint("shuffle_hash"), ["id0", "id1"]), width)
+    found = staged(shard_results(examples.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), crowd, width), "found")
     loose = found.where("window is not null")
     met = loose.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
     across = loose.where("alone").join(met, ["anchor", "window"]).select("anchor", "content", "first", "last")
@@ -302,10 +329,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return places.groupBy("id0", "id1").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def merged_spans(ranges: list[dict], n_bytes: int) -> list[tuple[int, int]]:
+def merged_spans(ranges: list[dict], n_bytes: int, width: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the windows in the ranges."""
     out: list[list[int]] = []
-    for a, b in sorted((r["first"], r["last"] + WIDTH - 1) for r in ranges):
+    for a, b in sorted((r["first"], r["last"] + width - 1) for r in ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -322,41 +349,43 @@ def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, width: int = WIDTH, least_words: int = 0) -> DataFrame:
     """The columns in keep with n_bytes, n_removed, spans (removed byte ranges), kept_bytes and kept_text.
 
     Columns of docs with these names are replaced. kept_bytes are the bytes outside the spans. kept_text is a string: characters that a span
-    cuts in the middle stay whole in it.
+    cuts in the middle stay whole in it. Runs of fewer than least_words words, those cut at their ends included, stay.
     """
-    spans = repeated_spans(docs, id_col, text_col, crowd)
-    names = {k: free_name(docs, f"nq_{k}") for k in ("id0", "id1")}
-    doc_id, text = col(id_col).cast("bigint"), F.coalesce(col(text_col).cast("string"), F.lit(""))
-    added = ("n_bytes", "n_removed", "spans", "kept_bytes", "kept_text")
-    passed = [c for c in keep if c != text_col and c.lower() not in added]
-    rows = docs.select(*[col(c) for c in passed], text.alias(text_col), F.coalesce(doc_id, F.lit(0)).cast("bigint").alias(names["id0"]), F.xxhash64(doc_id, text).alias(names["id1"]))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    docs, names = sheltered(docs)
+    id_at, text_at = names[id_col.lower()], names[text_col.lower()]
+    passed = {c: names[c.lower()] for c in keep if c.lower() != text_col.lower() and c.lower() not in ADDED}
+    places = list(passed.values())
+    spans = repeated_spans(docs, id_at, text_at, crowd, width)
+    doc_id, text = F.col(id_at).cast("bigint"), F.coalesce(F.col(text_at).cast("string"), F.lit(""))
+    rows = docs.select(*places, text.alias("text"), F.coalesce(doc_id, F.lit(0)).cast("bigint").alias("id0"), F.xxhash64(doc_id, text).alias("id1"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in by_bytes(batch, text_col):
-                packed = pa.array([squeeze.compress(t) for t in texts_of(part.column(text_col))], pa.binary())
-                columns = [packed if c == text_col else part.column(c) for c in part.schema.names]
+            for part in by_bytes(batch):
+                packed = pa.array([squeeze.compress(t) for t in texts_of(part.column("text"))], pa.binary())
+                columns = [packed if c == "text" else part.column(c) for c in part.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    fields = ", ".join([*(f"`{c}` {kinds[c]}" for c in passed), f"`{text_col}` binary", f"`{names['id0']}` bigint", f"`{names['id1']}` bigint"])
-    packed = rows.mapInArrow(pack, fields)
-    joined = packed.join(spans.select(F.col("id0").alias(names["id0"]), F.col("id1").alias(names["id1"]), F.col("spans").alias("nq_spans")).hint("shuffle_hash"), [names["id0"], names["id1"]], "left")
+    own = StructType([docs.schema[c] for c in places])
+    packed = rows.mapInArrow(pack, StructType([*own, *DataType.fromDDL("text binary, id0 bigint, id1 bigint")]))
+    joined = packed.join(spans.hint("shuffle_hash"), ["id0", "id1"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts, ranges = batch.column(text_col), batch.column("nq_spans")
+            texts, ranges = batch.column("text"), batch.column("spans")
             for lo in range(0, batch.num_rows, 256):
                 out = []
                 for i in range(lo, min(lo + 256, batch.num_rows)):
                     text = squeeze.decompress(texts[i].as_py())
-                    cut = merged_spans(ranges[i].as_py() or [], len(text))
+                    cut = merged_spans(ranges[i].as_py() or [], len(text), width)
+                    if least_words:
+                        cut = [(a, b) for a, b in cut if len(text[a:b].split()) >= least_words]
                     borders = [0, *(x for s in cut for x in s), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
                     borders = [0, *(x for s in cut for x in whole_characters(text, *s)), len(text)]
@@ -365,7 +394,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", tex
                 columns = list(zip(*out, strict=True))
                 part = batch.slice(lo, 256)
                 arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *arrays], names=[*passed, "n_bytes", "n_removed", "spans", "kept_bytes", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in places), *arrays], names=[*places, *ADDED])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in passed), "n_bytes bigint, n_removed bigint, spans array<struct<first:bigint,last:bigint>>, kept_bytes binary, kept_text string"])
-    return joined.select(*[col(c) for c in passed], col(text_col), "nq_spans").mapInArrow(run, schema)
+    added = DataType.fromDDL("n_bytes bigint, n_removed bigint, spans array<struct<first:bigint,last:bigint>>, kept_bytes binary, kept_text string")
+    got = joined.select(*places, "text", "spans").mapInArrow(run, StructType([*own, *added]))
+    return got.select(*[F.col(at).alias(c) for c, at in passed.items()], *ADDED)

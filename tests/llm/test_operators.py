@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from netquill.llm import bpe, exact_dedup, language_id, mil_quality, packing, qu
 from netquill.llm.components import connected_components
 from netquill.llm.suffix_array import common_prefixes, suffix_array
 
+SMALL = Path("/root/testdata/sf0.01")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, kept string"
 LONG = "lorem ipsum dolor sit amet " * 800
 
@@ -55,17 +57,22 @@ def test_suffix_array():
                 assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1]
 
 
-def brute_removal(texts):
+def brute_removal(texts, width=400, least_words=0):
     seen = {}
     for t in texts:
-        for a in range(len(t) - 399):
-            seen[t[a : a + 400]] = seen.get(t[a : a + 400], 0) + 1
+        for a in range(len(t) - width + 1):
+            seen[t[a : a + width]] = seen.get(t[a : a + width], 0) + 1
     out = []
     for t in texts:
         cut = bytearray(len(t))
-        for a in range(len(t) - 399):
-            if seen[t[a : a + 400]] > 1:
-                cut[a : a + 400] = b"\1" * 400
+        for a in range(len(t) - width + 1):
+            if seen[t[a : a + width]] > 1:
+                cut[a : a + width] = b"\1" * width
+        for a in range(len(t)):
+            if cut[a] and not (a and cut[a - 1]):
+                b = (cut + b"\0").index(0, a)
+                if len(t[a:b].split()) < least_words:
+                    cut[a:b] = bytes(b - a)
         kept = bytes(c for c, x in zip(t, cut, strict=True) if not x)
         out.append((len(t), sum(cut), sum(x and not (i and cut[i - 1]) for i, x in enumerate(cut)), kept))
     return out
@@ -84,6 +91,31 @@ def test_suffix_dedup(spark, crowd):
     assert got == want
 
 
+@pytest.mark.parametrize(("width", "least_words"), [(200, 51), (200, 0), (16, 0)])
+def test_suffix_dedup_of_passages(spark, width, least_words):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (40, 49, 51, 55, 70, 120)] + ["z" * 300]
+    texts = [" ".join([prose(rng.randint(0, 60)), passages[i % len(passages)], prose(rng.randint(0, 60))]) for i in range(30)]
+    texts += [None, "", "x " * 40, "x " * 90, "x " * 200, passages[3]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in suffix_dedup.remove_repeats(table(spark, texts), ["doc_id"], width=width, least_words=least_words).collect()}
+    want = dict(enumerate(brute_removal([(t or "").encode() for t in texts], width, least_words)))
+    assert got == want
+    if least_words:
+        assert {i % len(passages) for i in range(30) if want[i][1]} == {2, 3, 4, 5}
+
+
+def test_suffix_dedup_across_parts(spark):
+    rng = random.Random(15)
+    part = suffix_dedup.size_of(400).part
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = word(900)
+    texts = [word(part - 450) + shared + word(part) + shared[100:] + word(50), word(80) + shared + word(30), word(part + 399)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in suffix_dedup.remove_repeats(table(spark, texts), ["doc_id"]).collect()}
+    assert got == dict(enumerate(brute_removal([t.encode() for t in texts])))
+
+
 def test_suffix_dedup_odd(odd, empty):
     rows = suffix_dedup.remove_repeats(odd, odd.columns).collect()
     assert len(rows) == len(ODD) and all(r.score == "x" for r in rows)
@@ -97,7 +129,7 @@ def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
     shared = word(700)
     copied, unnamed = word(900) + shared + word(900), word(500) + shared[:600] + word(800)
     cut, joined = suffix_dedup.cut_examples, []
-    monkeypatch.setattr(suffix_dedup, "cut_examples", lambda wanted: joined.append(wanted) or cut(wanted))
+    monkeypatch.setattr(suffix_dedup, "cut_examples", lambda wanted, width: joined.append(wanted) or cut(wanted, width))
 
     def spans(n):
         texts = [copied] * n + [unnamed] * n + [word(300) + shared[50:] + word(20)]
@@ -111,6 +143,45 @@ def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
     assert all(j.count() == j.select("id0", "id1").distinct().count() for j in joined) and joined[-1].count() > 1
 
 
+# Columns of any name
+
+
+CLASHING = ["nq_spans", "nq_group", "nq_best", "nq_index_sha", "keep_row", "nq_c0", "id0", "fp", "row", "sha", "packed", "spans", "Kept_Text", "a.b", "a b`c"]
+
+
+@pytest.mark.parametrize("rows", [0, 6])
+@pytest.mark.parametrize("name", ["suffix", "sharding", "rules", "quality", "language", "exact", "exact_dedup", "toxicity", "bpe", "packing", "near", "near_dedup"])
+def test_columns_of_any_name(spark, name, rows):
+    texts = ["one two three four", "one  two three four", "", None, "x" * 900, "x" * 900][:rows]
+    docs = table(spark, texts).select("doc_id", "text", "lang", "source", *[F.lit(f"own {i}").alias(c) for i, c in enumerate(CLASHING)])
+    labels = spark.createDataFrame([(0, 1), (4, 0)], "doc_id bigint, label int")
+    passed = True
+    if name == "suffix":
+        got, lost = suffix_dedup.remove_repeats(docs, docs.columns), {"spans", "Kept_Text"}
+    elif name == "quality":
+        got, lost = mil_quality.score_quality(docs, mil_quality.fit_quality(docs, labels), docs.columns), set()
+    elif name == "language":
+        got, lost = language_id.identify(docs, language_id.fit_languages(docs, docs), docs.columns), set()
+    elif name == "toxicity":
+        got, lost = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels), docs.columns), set()
+    elif name in ("exact", "near"):
+        got, lost = (exact_dedup.exact_groups if name == "exact" else simhash.near_groups)(docs), set()
+    elif name in ("exact_dedup", "near_dedup"):
+        got, lost = (exact_dedup.exact_dedup if name == "exact_dedup" else simhash.near_dedup)(docs), set()
+        assert got.columns == docs.columns
+    elif name == "bpe":
+        public = pytest.importorskip("public_tokenizers")
+        got, lost = bpe.encode_decode(docs, public.path("word_bpe_49k.json"), keep=docs.columns), set()
+    else:
+        work = {"sharding": lambda: sharding.assign_shards(docs, 3), "rules": lambda: quality_rules.apply_rules(docs, labels.withColumnRenamed("label", "quality")), "packing": lambda: packing.pack(docs)}
+        got, lost, passed = work[name](), set(), False
+    found = got.collect()
+    assert len(found) == {"exact_dedup": rows // 2, "near_dedup": rows and 3}.get(name, rows)
+    if passed:
+        own = {c: f"own {i}" for i, c in enumerate(CLASHING) if c not in lost}
+        assert all(r[c] == value for r in found for c, value in own.items())
+
+
 # 2: sharding
 
 
@@ -168,15 +239,82 @@ def test_measures_and_tail(spark):
         assert got == pytest.approx(exact, rel=1e-9)
 
 
-def test_rules_keep_risk(spark):
-    rng = random.Random(3)
+def labelled_texts(spark, folder, sizes):
+    """Every fourth text is bad and has symbols; labels for two of three texts."""
+    rng, rows = random.Random(3), []
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
-    texts = [" ".join(word() + ("###" if i % 4 == 0 else "") for _ in range(30)) for i in range(2400)]
-    docs = table(spark, texts).withColumn("lang", F.lit("en"))
-    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(2400)], "doc_id bigint, quality int")
+    for lang, n in sizes.items():
+        rows += [(len(rows) + i, " ".join(word() + ("###" if i % 4 == 0 or rng.random() < 0.002 else "") for _ in range(30)), lang) for i in range(n)]
+    labels = [(i, int(text.count("#") < 30)) for i, text, _ in rows if i % 3]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
+    return {i: (text, lang) for i, text, lang in rows}
+
+
+def test_rules_keep_risk(spark, tmp_path):
+    texts = labelled_texts(spark, tmp_path, {"en": 2400, "de": 300, "fr": 120, "xx": 12})
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_rules.apply_rules(docs, labels).collect()
-    assert sum(not r.kept for r in rows if r.doc_id % 4) <= 36 and not any(r.kept for r in rows if r.doc_id % 4 == 0)
+    for lang in ("en", "de", "fr"):
+        fresh = [r for r in rows if r.doc_id % 3 == 0 and texts[r.doc_id][1] == lang]
+        good, bad = ([r for r in fresh if (texts[r.doc_id][0].count("#") < 30) == g] for g in (True, False))
+        assert sum(not r.kept for r in good) <= quality_rules.RISK * len(good) and bad and not any(r.kept for r in bad)
+    assert all(r.kept for r in rows if texts[r.doc_id][1] == "xx")  # too few labels
     assert all(r.kept for r in quality_rules.apply_rules(docs, labels.limit(0)).collect())
+    same_as_sql(rows, str(tmp_path))
+
+
+def same_as_sql(rows, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        at = Path(f"{folder}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/*.parquet'" if at.is_dir() else f"CREATE VIEW {t} AS SELECT * FROM '{at}'")
+    found = con.sql(quality_rules.rules_sql())
+    assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r[c] for c in found.columns)) for r in rows)
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
+def test_rules_reject_in_several_languages(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.apply_rules(docs, labels).collect()
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    assert len({lang[r.doc_id] for r in rows if not r.kept and not r.base_failed}) >= 2
+    same_as_sql(rows, str(SMALL))
+
+
+def test_holm_levels(spark):
+    """Cut steps against Holm's procedure written out."""
+    from math import comb
+
+    rng = random.Random(16)
+    tail = lambda k, n: sum(comb(n, i) * 0.1**i * 0.9 ** (n - i) for i in range(k + 1))
+    for _ in range(4):
+        rows, firsts = [], {}
+        for stratum in range(5):
+            for _ in range(rng.choice([10, 25, 40, 60, 200])):
+                label, first = int(rng.random() < 0.7), rng.choice([None] * 12 + list(quality_rules.STEPS)) if rng.random() < 0.5 else None
+                first = first if label else rng.choice(quality_rules.STEPS)
+                rows.append((len(rows), str(stratum), label, 0 if first is None else int(1000 * quality_rules.RULES["symbols"][1][first]) + 1))
+                firsts.setdefault(str(stratum), []).append((label, first))
+        table = spark.createDataFrame([(i, s, 1000, n, 0, 0, 0, 1, 0, False) for i, s, _, n in rows], "doc_id bigint, stratum string, n_words bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, word_chars bigint, n_lines bigint, n_capitals bigint, base_failed boolean")
+        labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id bigint, quality int")
+        got = {r.stratum: r.cut_step for r in quality_rules.cutoffs(table, labels).collect()}
+        p = {}
+        for s, texts in firsts.items():
+            n = sum(y for y, _ in texts)
+            p[s] = [tail(k, n) if (k := sum(y and f is not None and f <= i for y, f in texts)) <= n * 0.1 else 1 for i in quality_rules.STEPS]
+        waiting = sorted(p, key=lambda s: (p[s][-1], s))
+        while waiting and p[waiting[0]][-1] <= 0.05 / len(waiting):
+            waiting.pop(0)
+        want = {}
+        for s, texts in firsts.items():
+            share = lambda v, i, texts=texts: sum(y == v and f is not None and f <= i for y, f in texts) / max(1, sum(y == v for y, _ in texts))
+            able = [i for i in quality_rules.STEPS if (s not in waiting or p[s][i] <= 0.05 / len(waiting)) and share(0, i) > share(1, i)]
+            if able:
+                want[s] = max(able, key=lambda i: (round(share(0, i) - share(1, i), 12), -i))
+        assert got == want
 
 
 def test_rules_odd(spark, odd, empty):
