@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquill.llm import exact_dedup, mil_quality, packing, simhash, suffix_dedup
-from netquill.llm._common import free_name, staged
+from netquill.llm._common import col, free_name, set_aside, staged
 from netquill.llm.queries import quality_labels
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.3
+#: Passages of so many words, and of so many bytes (short words: four bytes each with the space), are removed where they repeat.
+LEAST_WORDS, LEAST_BYTES = 51, 200
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mil_quality.fit_quality(docs.select("doc_id", "text"), quality_labels(spark, sf_dir))
     name = free_name(docs, "nq_score")
     scored = mil_quality.score_quality(docs, model, docs.columns, name=name)
-    return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*[col(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +38,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that repeat; a text may become empty. n_chars follows the text."""
-    got = suffix_dedup.remove_repeats(docs, docs.columns)
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
-    return got.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """All documents, without the passages of over 50 words that repeat; a text may become empty. n_chars follows the text."""
+    moved, back = set_aside(docs, suffix_dedup.ADDED)
+    got = suffix_dedup.remove_repeats(moved, moved.columns, width=LEAST_BYTES, least_words=LEAST_WORDS)
+    return back(got.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
