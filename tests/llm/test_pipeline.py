@@ -55,7 +55,7 @@ def test_stages(spark, tmp_path):
 
     before, kept = steps["suffix_dedup"]
     ids = sorted(before)
-    want = dict(zip(ids, brute_removal([(before[i].text or "").encode() for i in ids]), strict=True))
+    want = dict(zip(ids, brute_removal([(before[i].text or "").encode() for i in ids], corpus_pipeline.LEAST_BYTES, corpus_pipeline.LEAST_WORDS), strict=True))
     assert {r.doc_id: r.text.encode() for r in kept} == {i: w[3] for i, w in want.items()} and any(w[1] for w in want.values())
     assert all(r.n_chars == len(r.text) for r in kept)
 
