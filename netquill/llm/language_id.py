@@ -8,7 +8,7 @@ in numpy by backpropagation through time on windows of learnable texts.
 Texts are read whole, in windows of WINDOW bytes; states start at zero in each window, in
 training as in use, which bounds the memory and lets a batch of windows run side by side.
 
-Training uses a bounded sample (SAMPLE_ROWS texts of at most training.SAMPLE_BYTES); the model
+Training uses a bounded sample (SAMPLE_ROWS texts, at most training.SAMPLE_BYTES together); the model
 has a few thousand numbers and goes to the tasks whatever the size of the data. Prediction is
 one pass without a shuffle.
 

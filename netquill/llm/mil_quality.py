@@ -6,7 +6,7 @@ layer. Gated attention, w . (tanh(V h) * sigmoid(U h)), weighs the passages of a
 weighted mean of their encodings is scored by a logistic unit. All layers are trained together
 in numpy from document labels.
 
-Training uses a bounded sample (SAMPLE_ROWS labelled texts of at most training.SAMPLE_BYTES);
+Training uses a bounded sample (SAMPLE_ROWS labelled texts, at most training.SAMPLE_BYTES together);
 the model has about a thousand numbers. Scoring reads whole texts, every passage, in one pass
 without a shuffle. Labels, language, source and doc_id are no inputs of a score.
 

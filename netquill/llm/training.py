@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import crc_mod
 
-#: The bound of a sample: rows, and bytes of a text. Longer texts are not used for training.
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 48_000
+#: The bounds of a sample: rows, and bytes of all its texts together.
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 64 << 20
 
 
 def learn_rows(modulus: int, held_out: int) -> Column:
@@ -18,21 +21,30 @@ def learn_rows(modulus: int, held_out: int) -> Column:
 
 
 def sample_texts(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, object]]:
-    """(text, label) of at most `rows` rows of docs (doc_id, text), chosen by a hash of the id.
+    """(text, label) of at most `rows` rows of docs (doc_id, text), whole texts of any length, chosen by a hash of the id.
 
-    labelled has doc_id and label, learnable rows only. Ids are chosen first, from narrow rows;
-    then only their texts are gathered: at most rows x most_bytes.
+    labelled has doc_id and label, learnable rows only. Ids are chosen first, from narrow rows,
+    then cut, in the order of the hash, where their texts would pass most_bytes together; so
+    length does not decide who is in the sample, but for a text that passes most_bytes alone.
+    Of rows with the same id the longest text counts.
     """
     spark = docs.sparkSession
     one = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = one.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(rows).collect()
     if not chosen:
         return []
-    ids = spark.createDataFrame(chosen, one.schema)  # bounded by `rows`
-    text = F.coalesce("text", F.lit(""))
-    got = docs.join(F.broadcast(ids), "doc_id").where(F.octet_length(text) <= most_bytes).select("doc_id", text.cast("binary").alias("text"), "label")
-    seen = {r.doc_id: (bytes(r.text), r.label) for r in got.toLocalIterator()}  # a repeated id counts once
-    return [seen[i] for i in sorted(seen)]
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+
+    def of(ids: list) -> DataFrame:
+        return docs.join(F.broadcast(spark.createDataFrame(ids, one.schema)), "doc_id")  # bounded by `rows`
+
+    sizes = {r.doc_id: r.size for r in of(chosen).groupBy("doc_id").agg(F.max(F.octet_length(text)).alias("size")).collect()}
+    able = [r for r in chosen if sizes.get(r.doc_id, most_bytes + 1) <= most_bytes]
+    held = bisect_right(list(accumulate(sizes[r.doc_id] for r in able)), most_bytes)
+    if not held:
+        return []
+    longest = of(able[:held]).groupBy("doc_id", "label").agg(F.max(F.struct(F.octet_length(text).alias("size"), text.alias("text"))).alias("t"))
+    return [(bytes(r.t.text), r.label) for r in sorted(longest.toLocalIterator(), key=lambda r: r.doc_id)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

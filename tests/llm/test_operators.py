@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from netquill.llm import bpe, exact_dedup, language_id, mil_quality, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from netquill.llm import bpe, exact_dedup, language_id, mil_quality, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity, training
 from netquill.llm.components import connected_components
 from netquill.llm.suffix_array import common_prefixes, suffix_array
 
@@ -372,6 +372,18 @@ def test_toxicity():
     assert toxicity.scores([b"x"], *toxicity.train([]))[0] == 0.5
 
 
+def test_sample_of_any_length(spark):
+    texts = [f"text {i} " * (20_000 if i % 10 == 0 else 3) for i in range(60)] + [None, "w" * 900_000, "twice", "twice, longer"]
+    docs = table(spark, texts, ids=[*range(62), 70, 70]).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(62), 70, 99]], "doc_id bigint, label int")
+    every = training.sample_texts(docs, labels)
+    assert sorted(every) == sorted([((t or "").encode(), i % 2) for i, t in enumerate(texts[:62])] + [(b"twice, longer", 0)])
+    some = training.sample_texts(docs, labels, most_bytes=800_000)
+    assert 0 < len(some) < 63 and sum(len(t) for t, _ in some) <= 800_000 and set(some) < set(every) and any(len(t) > 100_000 for t, _ in some)
+    assert len(training.sample_texts(docs, labels, rows=5)) <= 5
+    assert training.sample_texts(docs.limit(0), labels) == training.sample_texts(docs, labels.limit(0)) == []
+
+
 @pytest.mark.parametrize("kind", ["quality", "language", "toxic"])
 def test_models_odd(spark, odd, empty, kind):
     labels = spark.createDataFrame([(3, 1), (5, 0), (None, 1)], "doc_id bigint, label int")
