@@ -268,7 +268,7 @@ HUMAN = "CASE WHEN n >= 1073741824 THEN printf('%.1fG', n / 1073741824) WHEN n >
 from_packets("humanize_bytes", f"{WITH} SELECT pkt_id, n, {HUMAN} AS human FROM (SELECT pkt_id, len::BIGINT * len * (pkt_id % 5) * (pkt_id % 11) AS n FROM packets)",
              lambda p: p.select("pkt_id", (F.col("len").cast("bigint") * F.col("len") * (F.col("pkt_id") % 5) * (F.col("pkt_id") % 11)).alias("n")).withColumn("human", P.humanize_bytes(F.col("n"))))
 from_packets("ip_keys", f"{WITH} SELECT DISTINCT src_ip, src_key FROM packets", lambda p: p.select("src_ip", ip_key(F.col("src_ip")).alias("src_key")).distinct())
-from_packets("ip6_text", f"{WITH} SELECT pkt_id, '2001:db8::' || lower(printf('%x', pkt_id + 1)) AS ip FROM packets WHERE pkt_id < 60000", lambda p: p.select("pkt_id", v6_text(F.concat(F.lit("20010db8"), F.lpad(F.lower(F.hex(F.col("pkt_id") + 1)), 24, "0"))).alias("ip")))
+from_packets("ip6_text", f"{WITH} SELECT pkt_id, '2001:db8::' || CASE WHEN pkt_id + 1 > 65535 THEN lower(printf('%x', (pkt_id + 1) >> 16)) || ':' ELSE '' END || lower(printf('%x', (pkt_id + 1) & 65535)) AS ip FROM packets", lambda p: p.select("pkt_id", v6_text(F.concat(F.lit("20010db8"), F.lpad(F.lower(F.hex(F.col("pkt_id") + 1)), 24, "0"))).alias("ip")))
 
 # Bytes: frames are made from the packets view and decoded again, so the view is what must come out.
 
