@@ -3,14 +3,17 @@
 Texts are equal when identical after deleting ASCII white space. Of equal texts the row with
 the most code points stays, then the smallest doc_id, then the first row read.
 
-How it runs: every map task feeds its rows into a DigestIndex. New digests go to a memtable,
-which is flushed as a run sorted by digest with a Bloom filter; a later row asks each run's
-filter and only then searches the run, and a hit is verified byte by byte against the stored
-text. When runs pile up they are compacted. A task therefore emits one entry for each distinct
-text it saw, with the smallest identifier and the number of rows, so a text that makes up a
-third of all rows costs the shuffle one entry for each task. The entries are shuffled by
-digest and merged by the same index; rows then look their group up by digest in a join whose
-skew Spark can split, as one side is unique.
+How it runs: every map task feeds its rows into a DigestIndex. Digests go to a memtable, which
+is flushed as a run sorted by digest with a Bloom filter. A row whose text is not in the memtable
+asks each run's filter and only then searches the run; a hit is verified byte by byte against
+the text stored there, which the new entry then shares. When runs pile up they are merged:
+compaction keeps one entry for each text, with the smallest identifier and the sum of rows. An
+index that holds MOST_BYTES of texts gives out its entries and starts anew, so a map task's
+memory does not grow with its partition, and a text that makes up a third of all rows costs the
+shuffle a few entries for each task. The last compaction is Spark's: entries are shuffled by
+digest and sorted, which merges the tasks' runs on disk, and a task holds the entries of one
+digest at a time. Rows then look their group up by digest in a join whose skew Spark can split,
+as one side is unique.
 
 Digests are the first 8 bytes of SHA-256 by default; texts that share a digest but not their
 bytes stay apart.
@@ -24,7 +27,10 @@ ones get underscores where they are internal).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from heapq import merge
+from itertools import groupby
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +42,17 @@ from pyspark.sql.types import DataType, StructType
 from ._common import WHITE, by_bytes, set_aside, sheltered, staged, texts_of
 
 MEMTABLE_ROWS = 4096
+#: Bytes of packed texts in an index before its entries are given out.
+MOST_BYTES = 64 << 20
 MOST_RUNS = 4
 FILTER_BITS_PER_KEY = 10
 
 
 class Run:
-    """Entries sorted by digest; keys is the numpy array of digests, with a Bloom filter."""
+    """Entries that are sorted by digest; keys is the numpy array of digests, with a Bloom filter."""
 
     def __init__(self, entries: list[list]):
-        self.entries = sorted(entries, key=lambda e: e[0])
+        self.entries = entries
         self.keys = np.fromiter((e[0] for e in self.entries), np.int64, len(entries))
         self.bits = max(64, FILTER_BITS_PER_KEY * len(entries))
         self.filter = bytearray(self.bits // 8 + 1)
@@ -66,41 +74,71 @@ class Run:
                 i += 1
 
 
+Same = Callable[[bytes, bytes], bool]
+
+
+def compacted(entries: Iterable[list], same: Same = eq) -> Iterator[list]:
+    """Of entries sorted by digest: one for each text, with its smallest identifier and all its rows."""
+    for _, group in groupby(entries, itemgetter(0)):
+        kept: list[list] = []
+        for e in group:
+            for k in kept:
+                if same(k[1], e[1]):
+                    take(k, *e[2:])
+                    break
+            else:
+                kept.append(list(e))
+        yield from kept
+
+
+def take(entry: list, identifier: tuple, rows: int, payload: object) -> None:
+    """Count rows in entry; the smaller identifier stays."""
+    entry[3] += rows
+    if identifier < entry[2]:
+        entry[2], entry[4] = identifier, payload
+
+
 class DigestIndex:
-    """Entries are [digest, bytes of the text, identifier, rows, payload]; smaller identifiers win."""
+    """Entries are [digest, bytes of the text, identifier, rows, payload]; same tells whether two texts' bytes are equal."""
 
-    def __init__(self):
+    def __init__(self, same: Same = eq):
+        self.same = same
+        self.clear()
+
+    def clear(self) -> None:
         self.memtable: dict[int, list[list]] = {}
-        self.held, self.runs = 0, []
+        self.runs: list[Run] = []
+        self.held, self.bytes = 0, 0
 
     def add(self, digest: int, packed: bytes, identifier: tuple, rows: int, payload: object) -> None:
-        for e in [*self.memtable.get(digest, ()), *(e for r in self.runs for e in r.at(digest))]:
-            if e[1] == packed:  # a hit counts only if the bytes are equal
-                e[3] += rows
-                if identifier < e[2]:
-                    e[2], e[4] = identifier, payload
-                return
-        self.memtable.setdefault(digest, []).append([digest, packed, identifier, rows, payload])
+        for e in self.memtable.get(digest, ()):
+            if self.same(e[1], packed):
+                return take(e, identifier, rows, payload)
+        stored = next((e[1] for r in self.runs for e in r.at(digest) if self.same(e[1], packed)), None)
+        if stored is None:
+            stored = packed
+            self.bytes += len(packed)
+        self.memtable.setdefault(digest, []).append([digest, stored, identifier, rows, payload])
         self.held += 1
         if self.held >= MEMTABLE_ROWS:
             self.flush()
 
     def flush(self) -> None:
         if self.held:
-            self.runs.append(Run([e for es in self.memtable.values() for e in es]))
+            self.runs.append(Run(sorted((e for es in self.memtable.values() for e in es), key=itemgetter(0))))
             self.memtable, self.held = {}, 0
         if len(self.runs) > MOST_RUNS:
-            self.compact()
+            self.runs.sort(key=lambda r: len(r.entries))
+            n = MOST_RUNS // 2 + 1
+            self.runs = [*self.runs[n:], Run(list(self.merged(self.runs[:n])))]
 
-    def compact(self) -> None:
-        """Merge the smaller half of the runs; texts are distinct across runs, so entries only move."""
-        self.runs.sort(key=lambda r: len(r.entries))
-        small, self.runs = self.runs[: MOST_RUNS // 2 + 1], self.runs[MOST_RUNS // 2 + 1 :]
-        self.runs.append(Run([e for r in small for e in r.entries]))
+    def merged(self, runs: list[Run]) -> Iterator[list]:
+        return compacted(merge(*[r.entries for r in runs], key=itemgetter(0)), self.same)
 
-    def entries(self) -> list[list]:
+    def entries(self) -> Iterator[list]:
+        """All entries, one for each text, sorted by digest."""
         self.flush()
-        return sorted((e for r in self.runs for e in r.entries), key=lambda e: e[0])
+        return self.merged(self.runs)
 
 
 def with_keys(docs: DataFrame, text_col: str, digest_bits: int) -> DataFrame:
@@ -131,33 +169,53 @@ def with_keys(docs: DataFrame, text_col: str, digest_bits: int) -> DataFrame:
 ENTRY = "digest bigint, packed binary, sha binary, points bigint, keep_id bigint, keep_row bigint, group_size bigint"
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """One entry for each distinct text among the rows of a partition; rows have ENTRY's columns."""
+def same_text() -> Same:
+    """Whether two packed texts have the same bytes, also if they were packed differently."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda a, b: a == b or unpack(a) == unpack(b)
+
+
+def read_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    for batch in batches:
+        for digest, packed, sha, points, doc_id, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield [digest, packed, (-points, doc_id is None, doc_id or 0, row), n, sha]
+
+
+def written(entries: Iterable[list]) -> Iterator[pa.RecordBatch]:
+    kinds, names = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4], [x.split()[0] for x in ENTRY.split(", ")]
+    out, size = [], 0
+    for digest, packed, (less, no_id, doc_id, row), n, sha in entries:
+        out.append((digest, packed, sha, -less, None if no_id else doc_id, row, n))
+        size += len(packed) + 80
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def indexed(rows: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Of rows with ENTRY's columns: an entry for each distinct text that a task holds at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestIndex()
-        for batch in batches:
-            for digest, packed, sha, points, doc_id, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                index.add(digest, packed, (-points, doc_id is None, doc_id or 0, row), n, sha)
-        out, size = [], 0
-        for e in index.entries():
-            digest, packed, (less, no_id, doc_id, row), n, sha = e
-            out.append((digest, packed, sha, -less, None if no_id else doc_id, row, n))
-            size += len(packed) + 80
-            if size > 4 << 20:
-                yield batch_of(out)
-                out, size = [], 0
-        if out:
-            yield batch_of(out)
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ENTRY.split(", ")])
+        index = DigestIndex(same_text())
+        for e in read_entries(batches):
+            index.add(*e)
+            if index.bytes > most_bytes:
+                yield from written(index.entries())
+                index.clear()
+        yield from written(index.entries())
 
     return rows.mapInArrow(run, ENTRY)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64) -> DataFrame:
+def merged(entries: DataFrame) -> DataFrame:
+    """One entry for each distinct text; entries are compacted as they come, in the order of digests."""
+    dealt = entries.repartition("digest").sortWithinPartitions("digest")
+    return dealt.mapInArrow(lambda batches: written(compacted(read_entries(batches), same_text())), ENTRY)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64, most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256 (any columns of these names are replaced)."""
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     own = docs.columns
@@ -165,7 +223,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_at = at[id_col.lower()]
     keyed = staged(with_keys(docs, at[text_col.lower()], digest_bits), "exact_keys")
     rows = keyed.select("digest", "packed", "sha", "points", F.col(id_at).cast("bigint").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("bigint").alias("group_size"))
-    entries = merged(merged(rows).repartition("digest"))
+    entries = merged(indexed(rows, most_bytes))
     return keyed.join(entries.select("sha", "keep_id", "keep_row", "group_size"), "sha").select(
         *[F.col(at[c.lower()]).alias(c) for c in own], "keep_id", "group_size", (F.col("keep_row") == F.col("row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )

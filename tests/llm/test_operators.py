@@ -401,12 +401,12 @@ def test_models_odd(spark, odd, empty, kind):
 # 6: exact duplicates
 
 
-@pytest.mark.parametrize("bits", [3, 64])
-def test_exact_dedup(spark, bits):
+@pytest.mark.parametrize(("bits", "most_bytes"), [(3, 64 << 20), (64, 64 << 20), (64, 100), (3, 100)])
+def test_exact_dedup(spark, bits, most_bytes):
     rng = random.Random(8)
     texts = ["hot   text" if rng.random() < 0.4 else rng.choice(["a b", "ab", " ab ", "c", "", "d\n"]) + str(rng.randint(0, 99)) * rng.randint(0, 2) for _ in range(700)]
     texts = [t if i % 9 else None for i, t in enumerate(texts)]
-    rows = exact_dedup.exact_groups(table(spark, texts), digest_bits=bits).collect()
+    rows = exact_dedup.exact_groups(table(spark, texts), digest_bits=bits, most_bytes=most_bytes).collect()
     groups = {}
     for i, t in enumerate(texts):
         plain = (t or "").translate({ord(c): None for c in " \t\n\x0b\x0c\r"})
@@ -428,11 +428,24 @@ def test_index_runs():
     index = exact_dedup.DigestIndex()
     for i in range(30_000):
         index.add(i % 9000 - 4500, b"t%d" % (i % 18_000), (-1, False, -i, 0), 1, i)
-    entries = index.entries()
+    stored = sum(len(r.entries) for r in index.runs) + index.held
+    assert stored > 18_000 and index.bytes == sum(len(b"t%d" % i) for i in range(18_000))  # runs hold texts again, which share their bytes
+    entries = list(index.entries())
     assert len(entries) == 18_000 and sum(e[3] for e in entries) == 30_000 and len(index.runs) <= exact_dedup.MOST_RUNS + 1
     assert all(e[2] == (-1, False, -e[4], 0) for e in entries)
 
 
+def test_same_bytes_packed_differently():
+    import zstandard
+
+    text = b"the same text " * 50
+    a, b = (zstandard.ZstdCompressor(level=n, write_content_size=True).compress(text) for n in (1, 19))
+    b = b if a != b else zstandard.ZstdCompressor(level=1, write_checksum=True).compress(text)
+    rows = [[5, a, (-1, False, 7, 0), 2, None], [5, b, (-1, False, 3, 0), 1, None], [5, zstandard.compress(b"other"), (-1, False, 1, 0), 1, None]]
+    found = list(exact_dedup.compacted(rows, exact_dedup.same_text()))
+    assert a != b and [(e[2][2], e[3]) for e in found] == [(3, 3), (1, 1)]
+
+
 # 8: tokens
 
 
