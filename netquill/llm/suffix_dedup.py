@@ -10,7 +10,8 @@ Equal strings must meet in one shard without any shard holding the corpus:
 1. Every window of `width` bytes has an anchor, the piece in it (128 bytes of 400) with the
    smallest hash. Windows in a row with the same anchor form a segment; on average a segment of
    400-byte windows has about 140. Equal windows have equal anchors, so only segments whose anchors have the same
-   hash need be compared. Segments are written as narrow rows (hashes and places, no text).
+   hash need be compared. Segments are written as narrow rows (hashes and places, no text), and
+   those whose anchor occurs nowhere else, which is most of them, are done with after one count.
 2. A segment whose whole content occurs twice is repeated throughout. Counting contents is an
    aggregation with a partial step, so texts copied thousands of times cost a row a task.
 3. Anchors with several different contents go on: one example of each content is cut from its
@@ -305,6 +306,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id0, id1, spans): for each row key the ranges [first, last) of windows that are repeated."""
     keyed = keyed_texts(docs, id_col, text_col)
     segments = staged(segment_rows(keyed, size_of(width)), "segments")
+    # An anchor that occurs once has no window that occurs twice.
+    shared = segments.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    segments = staged(segments.join(shared, "anchor").select(segments.columns), "shared_segments")
     # All columns are taken from the same row of a group.
     contents = segments.groupBy("anchor", "content").agg(F.sum("times").alias("n"), *[F.first(c).alias(c) for c in ("id0", "id1", "start", "windows")])
     contents = staged(contents, "contents")
