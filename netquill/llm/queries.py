@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mil_quality, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, filter_audit, fingerprints, language_id, mil_quality, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity, whitening
 from ._common import crc_mod
 from .training import learn_rows
 
@@ -80,6 +80,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    digests = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_sha256", "edited_fingerprint")}
+    return got.withColumns(digests).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sharding": op2_sharding,
@@ -91,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_whitening": op12_whitening,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 EXACT_SQL = r"""
@@ -122,4 +139,4 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (pos -
 FROM s
 """
 
-SQL: dict[str, str] = {"op2_sharding": SHARDING_SQL, "op3_quality_rules": quality_rules.rules_sql(), "op6_exact_dedup": EXACT_SQL}
+SQL: dict[str, str] = {"op2_sharding": SHARDING_SQL, "op3_quality_rules": quality_rules.rules_sql(), "op6_exact_dedup": EXACT_SQL, "op13_filter_audit": filter_audit.audit_sql()}
