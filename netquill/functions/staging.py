@@ -23,10 +23,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: when an executor is lost, later stages reread the table.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/netquill/{uuid.uuid4().hex}/{name}"
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, name))
+
+
+def staged_path(df: DataFrame, name: str) -> str:
+    """Write df to the shared folder; returns the path of the table."""
+    path = f"{shared_folder(df.sparkSession)}/netquill/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def placed(rows: DataFrame, order: list[str], name: str, ranges: int | None = None) -> DataFrame:

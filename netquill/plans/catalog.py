@@ -13,7 +13,7 @@ from ..functions import bpf, decode, encode, names
 from ..functions import protocols as P
 from ..functions.ip import ip_key, v6_text
 from ..operators import alerts, enrich, filters, flows, payloads, reassembly, traffic
-from ..sources import eve, lists, pcap
+from ..sources import capture_scan, eve, lists, pcap
 from ..sources.packet_view import PACKETS_SQL, packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,7 +303,7 @@ def tls_sni(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.col("t.server_name").alias("name"), F.col("t.highest_version").alias("version"))
 
 
-SEGMENT = 1000
+SEGMENT, SCAN_BYTES = 1000, 256 << 10
 
 
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS md5 FROM documents WHERE length(text) > 0")
@@ -336,6 +336,17 @@ def pcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.drop("pkt_id").join(own, ["ts_us", "src_ip", "dst_ip", "l4"]).select(F.col("own_id").alias("pkt_id"), "ts_us", F.col("len").cast("bigint").alias("len"))
 
 
+@query(f"{WITH} SELECT substr(md5('if' || pkt_id % 4), 1, 8) AS tag, row_number() OVER (PARTITION BY pkt_id % 4 ORDER BY ts_us, pkt_id) - 1 AS seq, ts_us, length(payload_hex) // 2 + CASE l4 WHEN 'Tcp' THEN 54 ELSE 42 END AS len, src_port, dst_port FROM packets")
+def capture_scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets view written to one capture for each of four interfaces, each of which is read in ranges of SCAN_BYTES."""
+    raw = raw_frames(packets(spark, sf_dir)).withColumns({"seq": F.col("pkt_id"), "wire_len": F.length("data").cast("bigint"), "link": F.lit(1).cast("bigint")})
+    folder = scratch(spark)
+    pcap.write_pcap(raw.withColumn("interface", F.concat(F.lit("if"), F.col("pkt_id") % 4)), folder, "view").collect()
+    back = capture_scan.scan_captures(spark, folder + "/*.pcap", SCAN_BYTES)
+    got = decode.decode_frames(back.withColumn("pkt_id", F.col("seq")))
+    return got.select(F.regexp_extract("interface", "view_([0-9a-f]+)_", 1).alias("tag"), F.col("pkt_id").alias("seq"), "ts_us", F.col("len").cast("bigint").alias("len"), "src_port", "dst_port")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share, as a local path."""
     root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/netquill").removeprefix("file:")
