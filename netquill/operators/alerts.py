@@ -1,10 +1,12 @@
 """Alert rules over packets and flows.
 
 Rules without memory are one pass: each packet gets an array of what it raises, which is
-exploded. Rules with memory count since the start: the packet that makes a count equal to the
-threshold raises. Distinct counts in order come from flags of first occurrence, whose running
-sum is an integer instead of a growing set; while the count stays at the threshold, every
-further packet raises again.
+exploded. Rules with memory look at observations: a packet counts for its source (floods), and
+its port for its source and target, or its target for its source and port (scans). A flood is
+the packet that makes a count equal to the threshold. A scan raises for every packet from the
+one that shows the threshold-th different value until the one that shows another; these two
+packets come from the first times of the values, an aggregation, of which a group needs only
+the smallest few, so no task sorts the packets of a source.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.protocols import SEVERITY_RANK, SUSPICIOUS_PORTS, choose, is_connection_start
-from ..functions.staging import placed
+from ..functions.staging import placed, staged
 
 ARRIVAL = ["ts_us", "pkt_id"]
 COLUMNS = ["pkt_id", "ts_us", "rule_ord", "rule", "severity", "category", "message", "src_ip", "dst_ip", "src_port", "dst_port"]
@@ -31,40 +33,74 @@ def raised(packets: DataFrame, what: Column) -> DataFrame:
     return packets.select("pkt_id", "ts_us", what.alias("alert"), "src_ip", "dst_ip", "src_port", "dst_port").select("pkt_id", "ts_us", "alert.*", "src_ip", "dst_ip", "src_port", "dst_port").select(*COLUMNS)
 
 
-def nth_of_source(packets: DataFrame, n: int) -> DataFrame:
-    """The n-th packet of each source. Spark keeps only the first n of each task before the shuffle."""
-    order = Window.partitionBy("src_ip").orderBy(*ARRIVAL)
-    return packets.where("src_ip is not null").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == n)
+SYN, ICMP, VERTICAL, HORIZONTAL = 1, 2, 5, 6
+#: What rules with memory look at: rule_ord, src_ip and member name a group, value is what differs in it.
+OBSERVED = ["pkt_id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "rule_ord", "member", "value"]
 
 
-def syn_flood(packets: DataFrame, threshold: int = 200) -> DataFrame:
-    starts = packets.where((F.col("l4") == "Tcp") & is_connection_start())
-    return raised(nth_of_source(starts, threshold), alert(1, "SynFlood", "High", "SynFlood", joined("SYN flood from ", F.col("src_ip"), f": {threshold} SYNs")))
+def observations(packets: DataFrame, rules: list[int]) -> DataFrame:
+    """A row for each packet and rule with memory that it counts for, with the packet's other columns OBSERVED needs."""
+    known = F.col("src_ip").isNotNull()
+    addressed = known & F.col("dst_ip").isNotNull() & F.col("dst_port").isNotNull()
+    port, nothing = F.col("dst_port").cast("string"), F.lit(None).cast("string")
+    of = {
+        SYN: (known & (F.col("l4") == "Tcp") & is_connection_start(), F.lit(""), nothing),
+        ICMP: (known & (F.col("l4") == "Icmp"), F.lit(""), nothing),
+        VERTICAL: (addressed, F.col("dst_ip"), port),
+        HORIZONTAL: (addressed, port, F.col("dst_ip")),
+    }
+    each = [F.when(c, F.struct(F.lit(r).alias("rule_ord"), m.alias("member"), v.alias("value"))) for r, (c, m, v) in of.items() if r in rules]
+    return packets.select(*OBSERVED[:6], F.explode(F.array_compact(F.array(*each))).alias("o")).select(*OBSERVED[:6], "o.*")
 
 
-def icmp_flood(packets: DataFrame, threshold: int = 500) -> DataFrame:
-    return raised(nth_of_source(packets.where("l4 = 'Icmp'"), threshold), alert(2, "IcmpFlood", "Medium", "IcmpFlood", joined("ICMP flood from ", F.col("src_ip"))))
+def remembered(thresholds: dict[int, int]) -> Column:
+    """The alert of an observation's rule."""
+    words = {
+        SYN: lambda n: alert(SYN, "SynFlood", "High", "SynFlood", joined("SYN flood from ", F.col("src_ip"), f": {n} SYNs")),
+        ICMP: lambda n: alert(ICMP, "IcmpFlood", "Medium", "IcmpFlood", joined("ICMP flood from ", F.col("src_ip"))),
+        VERTICAL: lambda n: alert(VERTICAL, "VerticalScan", "High", "PortScan", joined("Vertical port scan: ", F.col("src_ip"), " → ", F.col("dst_ip"), f", {n} ports")),
+        HORIZONTAL: lambda n: alert(HORIZONTAL, "HorizontalScan", "High", "PortScan", joined("Horizontal port scan: ", F.col("src_ip"), " port ", F.col("dst_port"), f" → {n} hosts")),
+    }
+    return F.coalesce(*[F.when(F.col("rule_ord") == r, words[r](n)) for r, n in thresholds.items()])
+
+
+def threshold_of(thresholds: dict[int, int]) -> Column:
+    return choose(F.col("rule_ord"), thresholds, 0)
+
+
+def floods(packets: DataFrame, thresholds: dict[int, int]) -> DataFrame:
+    """The n-th packet of each source. Spark keeps only the first few of each task before the shuffle."""
+    order = Window.partitionBy("rule_ord", "src_ip").orderBy(*ARRIVAL)
+    nth = observations(packets, list(thresholds)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(thresholds.values()))
+    return raised(nth.where(F.col("nth") == threshold_of(thresholds)), remembered(thresholds))
 
 
-def distinct_so_far(packets: DataFrame, group: list[str], value: str) -> DataFrame:
-    """packets with n_distinct: different values in the group up to the packet."""
-    first = F.row_number().over(Window.partitionBy(*group, value).orderBy(*ARRIVAL)) == 1
-    running = Window.partitionBy(*group).orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, 0)
-    return packets.withColumn("first", first.cast("bigint")).withColumn("n_distinct", F.sum("first").over(running)).drop("first")
+def syn_flood(packets: DataFrame, threshold: int = 200) -> DataFrame:
+    return floods(packets, {SYN: threshold})
+
+
+def icmp_flood(packets: DataFrame, threshold: int = 500) -> DataFrame:
+    return floods(packets, {ICMP: threshold})
 
 
-def addressed(packets: DataFrame) -> DataFrame:
-    return packets.where("src_ip is not null and dst_ip is not null and dst_port is not null")
+def scans(packets: DataFrame, thresholds: dict[int, int]) -> DataFrame:
+    """Packets that come while a group has shown exactly the threshold's number of values."""
+    seen, group = observations(packets, list(thresholds)), ["rule_ord", "src_ip", "member"]
+    at = F.struct(*ARRIVAL)
+    firsts = seen.groupBy(*group, "value").agg(F.min(at).alias("at"))
+    ranked = firsts.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("at"))).where(F.col("nth") <= max(thresholds.values()) + 1)
+    n = threshold_of(thresholds)
+    spans = ranked.groupBy(*group).agg(F.max(F.when(F.col("nth") == n, F.col("at"))).alias("begins"), F.max(F.when(F.col("nth") == n + 1, F.col("at"))).alias("ends")).where("begins is not null")
+    hits = seen.join(spans, group).where((at >= F.col("begins")) & (F.col("ends").isNull() | (at < F.col("ends"))))
+    return raised(hits, remembered(thresholds))
 
 
 def vertical_scan(packets: DataFrame, threshold: int = 20) -> DataFrame:
-    hits = distinct_so_far(addressed(packets), ["src_ip", "dst_ip"], "dst_port").where(F.col("n_distinct") == threshold)
-    return raised(hits, alert(5, "VerticalScan", "High", "PortScan", joined("Vertical port scan: ", F.col("src_ip"), " → ", F.col("dst_ip"), f", {threshold} ports")))
+    return scans(packets, {VERTICAL: threshold})
 
 
 def horizontal_scan(packets: DataFrame, threshold: int = 15) -> DataFrame:
-    hits = distinct_so_far(addressed(packets), ["src_ip", "dst_port"], "dst_ip").where(F.col("n_distinct") == threshold)
-    return raised(hits, alert(6, "HorizontalScan", "High", "PortScan", joined("Horizontal port scan: ", F.col("src_ip"), " port ", F.col("dst_port"), f" → {threshold} hosts")))
+    return scans(packets, {HORIZONTAL: threshold})
 
 
 def bad_ttl() -> Column:
@@ -95,15 +131,18 @@ def stateless(packets: DataFrame, rules: list[Column]) -> DataFrame:
 
 def packet_alerts(packets: DataFrame, syn: int = 200, icmp: int = 500, ports: int = 20, hosts: int = 15, dns: int = 80, app: str = "app") -> DataFrame:
     """What all packet rules raise."""
-    out = stateless(packets, [bad_ttl(), suspicious_port(), dns_exfil(dns), tls_anomaly(app)])
-    for df in (syn_flood(packets, syn), icmp_flood(packets, icmp), vertical_scan(packets, ports), horizontal_scan(packets, hosts)):
-        out = out.unionByName(df)
-    return out
+    out = stateless(packets, packet_rules(dns, app))
+    return out.unionByName(floods(packets, {SYN: syn, ICMP: icmp})).unionByName(scans(packets, {VERTICAL: ports, HORIZONTAL: hosts}))
+
+
+def packet_rules(dns: int = 80, app: str = "app") -> list[Column]:
+    """The rules without memory."""
+    return [bad_ttl(), suspicious_port(), dns_exfil(dns), tls_anomaly(app)]
 
 
 def numbered(alerts: DataFrame) -> DataFrame:
-    """alerts with id from 1, in order of arrival and rule. They are written to the shared folder once."""
-    return placed(alerts, ["ts_us", "pkt_id", "rule_ord"], "id").withColumn("id", (F.col("id") + 1).cast("bigint"))
+    """alerts with id from 1, in order of arrival and rule. They are written to the shared folder first, so the rules run once."""
+    return placed(staged(alerts, "alerts"), ["ts_us", "pkt_id", "rule_ord"], "id").withColumn("id", (F.col("id") + 1).cast("bigint"))
 
 
 def large_transfer(flows: DataFrame, threshold: int = 100 << 20) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Packets as they arrive: rates, live flows, ended flows, alerts and fan-out to several sinks.
+"""Packets as they arrive: rates, ended flows and fan-out to several sinks; see also alerts and reassembly.
 
 Packet streams have the columns of a packets table; event time is ts_us. Late packets are
 dropped by the watermark.
@@ -37,7 +37,14 @@ def timeout_us(proto: str, state: str) -> int:
 
 
 class FlowProcessor(StatefulProcessor):
-    """One key's live flow; a flow is emitted when the next packet comes too late for it, or its timer fires."""
+    """One key's live flow; a flow is emitted when the next packet comes too late for it, or its timer fires.
+
+    Numbering the flows of a key takes a number for every key ever seen. Without it, flow_no is
+    the time of a flow's first packet, and nothing is left of a key whose flow has ended.
+    """
+
+    def __init__(self, numbered: bool = True):
+        self.numbered = numbered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -54,7 +61,7 @@ class FlowProcessor(StatefulProcessor):
                 done.append(flow)
                 flow = None
             if flow is None:
-                number += 1
+                number = number + 1 if self.numbered else int(r.ts_us)
                 flow = dict.fromkeys(NAMES, 0) | {"flow_no": number, "ip_a": r.ip_a, "ip_b": r.ip_b, "app": r.app, "state": "New", "first_us": r.ts_us}
             side = "fwd" if r.fwd else "rev"
             flow[f"packets_{side}"] += 1
@@ -62,7 +69,8 @@ class FlowProcessor(StatefulProcessor):
             flow["last_us"] = int(r.ts_us)
             if r.sets:
                 flow["state"] = r.sets
-        self.last_no.update((number,))
+        if self.numbered:
+            self.last_no.update((number,))
         self.live.update(tuple(flow[c] for c in NAMES))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
@@ -82,11 +90,11 @@ class FlowProcessor(StatefulProcessor):
         pass
 
 
-def ended_flows(packets: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Flows as they end. Needs the RocksDB state store; state holds one row for each live key."""
+def ended_flows(packets: DataFrame, late: str = "10 seconds", numbered: bool = True) -> DataFrame:
+    """Flows as they end. Needs the RocksDB state store, which holds one row for each live key, and if flows are numbered one for every key."""
     p = flows.canonical(packets).withColumn("sets", flows.stated())
     p = timed(p.select(*flows.KEY, "ts_us", "pkt_id", "ip_a", "ip_b", "app", "fwd", "len", "sets"), late)
-    return p.groupBy(*flows.KEY).transformWithStateInPandas(FlowProcessor(), ENDED, "Append", "EventTime")
+    return p.groupBy(*flows.KEY).transformWithStateInPandas(FlowProcessor(numbered), ENDED, "Append", "EventTime")
 
 
 def use_rocksdb(spark) -> None:
