@@ -12,17 +12,22 @@ Equal strings must meet in one shard without any shard holding the corpus:
    400-byte windows has about 140. Equal windows have equal anchors, so only segments whose anchors have the same
    hash need be compared. Segments are written as narrow rows (hashes and places, no text), and
    those whose anchor occurs nowhere else, which is most of them, are done with after one count.
-2. A segment whose whole content occurs twice is repeated throughout. Counting contents is an
-   aggregation with a partial step, so texts copied thousands of times cost a row a task.
+2. A segment whose whole content occurs twice is repeated throughout. Contents are told apart by
+   a 128-bit BLAKE2b digest of their bytes. Counting them is an aggregation with a partial step,
+   so texts copied thousands of times cost a row a task.
 3. Anchors with several different contents go on: one example of each content is cut from its
    text (texts travel compressed, once) and shuffled by anchor. Shards of about SHARD_BYTES get
    a suffix array by induced sorting and permuted common prefixes (see suffix_array.py); a
    window that shares `width` bytes with a neighbour in the array is repeated. An anchor with
    more than CROWD contents is dealt out over several shards; windows that stay alone in
-   theirs are then matched across shards by a hash of the window, in one more shuffle.
+   theirs are then matched across shards by such a digest of the window, in one more shuffle.
 4. The repeated windows go back to all places of their segments, and from there to the texts,
    where runs are merged and cut out.
 
+Passages of a number of words (remove_passages) go the same way over another alphabet: each word
+is written as a code of 8 bytes, so a window of 51 words is one of 408 bytes that starts at a
+multiple of 8, however short or long the words are and whatever white space parts them.
+
 Edge cases: a null text is empty; texts under `width` bytes have nothing to remove; a text that
 repeats within itself counts, overlaps included; repeated rows are copies of each other, so
 they lose everything from `width` bytes on; null doc_ids are told apart by their texts; an empty
@@ -33,7 +38,8 @@ their key has one text in step 3 and each range once in step 4, however many row
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +60,10 @@ PLACE_BITS = 19
 ADDED = ("n_bytes", "n_removed", "spans", "kept_bytes", "kept_text")
 
 
+#: Bytes of a word's code, and words whose codes a task remembers.
+CODE, CODES = 8, 1 << 18
+
+
 class Size(NamedTuple):
     """Bytes of a window and of an anchor."""
 
@@ -94,17 +104,24 @@ def prefix_hashes(t: np.ndarray) -> np.ndarray:
     return np.concatenate([[U(0)], np.cumsum((t.astype(U) + U(1)) * POWERS[: len(t)], dtype=U)])
 
 
-def content_hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed((p[b] - p[a]) * BACK_POWERS[a] + (b - a).astype(U) * U(0xA0761D6478BD642F))
+def digest(content: bytes | memoryview) -> bytes:
+    """What tells contents apart: equal digests count as equal bytes."""
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def binary_array(digests: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit numbers as an Arrow array of 16 bytes each."""
+    offsets = np.arange(0, 16 * len(digests) + 1, 16, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(digests))])
 
 
 def segments_of(t: np.ndarray, ends: np.ndarray, size: Size) -> tuple[np.ndarray, ...]:
-    """Segments in the texts that stand one after another in t, up to ends: (start, windows, times, anchor, content).
+    """Segments in the texts that stand one after another in t, up to ends: (start, windows, times, anchor, content); a content is two numbers.
 
     A text that repeats itself, such as one line over and over, has the same segment many times
     in a row; that is one segment with a number of times.
     """
-    none = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), np.zeros(0, U))
+    none = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), np.zeros((0, 2), U))
     n, (width, piece), span = len(t), size, size.span
     if n < width:
         return none
@@ -123,15 +140,17 @@ def segments_of(t: np.ndarray, ends: np.ndarray, size: Size) -> tuple[np.ndarray
     sizes = np.diff(np.append(edges, windows))
     real = anchor[edges] >= 0
     start, sizes = edges[real], sizes[real]
-    anchors, contents = hashes[anchor[start]], content_hash(p, start, start + sizes + width - 1)
     if not len(start):
         return none
-    same = (contents[1:] == contents[:-1]) & (anchors[1:] == anchors[:-1]) & (sizes[1:] == sizes[:-1]) & (start[1:] == start[:-1] + sizes[:-1])
+    body = memoryview(t)
+    anchors, ends_at = hashes[anchor[start]], (start + sizes + width - 1).tolist()
+    contents = np.frombuffer(b"".join([digest(body[a:b]) for a, b in zip(start.tolist(), ends_at, strict=True)]), U).reshape(-1, 2)
+    same = (contents[1:] == contents[:-1]).all(axis=1) & (anchors[1:] == anchors[:-1]) & (sizes[1:] == sizes[:-1]) & (start[1:] == start[:-1] + sizes[:-1])
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     return start[first], sizes[first], np.diff(np.append(first, len(start))), anchors[first], contents[first]
 
 
-SEGMENT = "id0 bigint, id1 bigint, start bigint, windows int, times int, anchor bigint, content bigint"
+SEGMENT = "id0 bigint, id1 bigint, start bigint, windows int, times int, anchor bigint, content binary"
 
 
 def segment_rows(keyed: DataFrame, size: Size) -> DataFrame:
@@ -157,7 +176,7 @@ def segment_rows(keyed: DataFrame, size: Size) -> DataFrame:
                     out.append(found(waiting, ids))
                 if out:
                     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in SEGMENT.split(", ")])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:-1]), binary_array(columns[-1])], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     def found(waiting: list[tuple[int, int, bytes]], ids: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         ends = np.cumsum([len(x) for _, _, x in waiting])
@@ -165,7 +184,7 @@ def segment_rows(keyed: DataFrame, size: Size) -> DataFrame:
         which = np.searchsorted(ends, start, side="right")
         row = np.array([i for i, _, _ in waiting])[which]
         base = np.array([at for _, at, _ in waiting]) - np.concatenate([[0], ends[:-1]])
-        return ids[0][row], ids[1][row], start + base[which], windows.astype(np.int32), times.astype(np.int32), anchor.view(np.int64), content.view(np.int64)
+        return ids[0][row], ids[1][row], start + base[which], windows.astype(np.int32), times.astype(np.int32), anchor.view(np.int64), content
 
     return keyed.select("id0", "id1", "text").mapInArrow(run, SEGMENT)
 
@@ -192,18 +211,18 @@ def repeated_windows(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray
     return owner, offset, number[place]
 
 
-FOUND = "anchor bigint, content bigint, first int, last int, window bigint, alone boolean"
+FOUND = "anchor bigint, content binary, first int, last int, window binary, alone boolean"
 
 
 def shard_results(examples: DataFrame, crowd: int, width: int) -> DataFrame:
     """Of (anchor, salt, n_contents, content, piece), sorted by anchor and salt: repeated ranges, and the windows of crowded anchors.
 
     Rows with window null are ranges [first, last) of repeated windows of a content. Rows with
-    a window hash are the classes of windows of one shard of a crowded anchor, with a place if
+    a window digest are the classes of windows of one shard of a crowded anchor, with a place if
     the window is alone there.
     """
 
-    def solve(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def solve(rows: list[tuple[int, int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         texts = [r[4] for r in rows]
         owner, offset, number = repeated_windows(texts, width)
         count = np.bincount(number, minlength=1)
@@ -214,26 +233,26 @@ def shard_results(examples: DataFrame, crowd: int, width: int) -> DataFrame:
         begins = np.union1d(edge[::2], new_text[again[new_text]]) if len(new_text) else edge[::2]
         ends_at = np.searchsorted(edge[1::2], begins, side="right")
         ends = np.minimum(edge[1::2][ends_at], np.append(new_text, len(owner))[np.searchsorted(new_text, begins, side="right")])
-        anchors, contents = (np.array([r[i] for r in rows], np.int64) for i in (0, 3))
+        anchors, contents = np.array([r[0] for r in rows], np.int64), [r[3] for r in rows]
         who, n = owner[begins], len(begins)
         if n:
             first = offset[begins].astype(np.int32)
-            yield batch(anchors[who], contents[who], first, first + (ends - begins).astype(np.int32), None, None)
+            yield batch(anchors[who], [contents[i] for i in who.tolist()], first, first + (ends - begins).astype(np.int32), None, None)
         crowded = np.array([r[2] > crowd for r in rows])
         here = np.flatnonzero(crowded[owner])
         if len(here):
             _, one = np.unique(number[here], return_index=True)
             here = here[one]
             starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            joined = np.frombuffer(b"".join(texts), np.uint8)
+            joined = memoryview(b"".join(texts))
             place, alone = starts[owner[here]] + offset[here], count[number[here]] == 1
-            hashes = np.array([int.from_bytes(hashlib.blake2b(joined[p : p + width].tobytes(), digest_size=8).digest(), "little", signed=True) for p in place.tolist()], np.int64)
+            digests = [digest(joined[p : p + width]) for p in place.tolist()]
             who, at = owner[here], offset[here].astype(np.int32)
-            yield batch(anchors[who], contents[who], at, at + np.int32(1), hashes, alone)
+            yield batch(anchors[who], [contents[i] for i in who.tolist()], at, at + np.int32(1), digests, alone)
 
-    def batch(anchor: np.ndarray, content: np.ndarray, first: np.ndarray, last: np.ndarray, window: np.ndarray | None, alone: np.ndarray | None) -> pa.RecordBatch:
+    def batch(anchor: np.ndarray, content: list[bytes], first: np.ndarray, last: np.ndarray, window: list[bytes] | None, alone: np.ndarray | None) -> pa.RecordBatch:
         n = len(anchor)
-        arrays = [pa.array(anchor), pa.array(content), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.nulls(n, pa.int64()) if window is None else pa.array(window), pa.nulls(n, pa.bool_()) if alone is None else pa.array(alone)]
+        arrays = [pa.array(anchor), pa.array(content, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(window or [None] * n, pa.binary()), pa.nulls(n, pa.bool_()) if alone is None else pa.array(alone)]
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +291,7 @@ def packed_texts(keyed: DataFrame, width: int) -> DataFrame:
 
 def cut_examples(wanted: DataFrame, width: int) -> DataFrame:
     """Of (packed, list of pieces): one row for each piece, with its bytes."""
-    schema = "anchor bigint, salt bigint, n_contents bigint, content bigint, piece binary"
+    schema = "anchor bigint, salt bigint, n_contents bigint, content binary, piece binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -290,7 +309,7 @@ def cut_examples(wanted: DataFrame, width: int) -> DataFrame:
                 yield rows(out)
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [*[pa.int64()] * 4, pa.binary()]
+        kinds = [*[pa.int64()] * 3, pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     return wanted.select("packed", "pieces").mapInArrow(run, schema)
@@ -302,9 +321,34 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(0)).cast("bigint").alias("id0"), F.xxhash64(doc_id, text).alias("id1"), text.alias("text"))
 
 
+class WordCodes(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CODES:
+            self.clear()
+        self[word] = code = hashlib.blake2b(word, digest_size=CODE).digest()
+        return code
+
+
+def coded(keyed: DataFrame) -> DataFrame:
+    """(id0, id1, text) with the codes of its words for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = WordCodes().__getitem__
+        for batch in batches:
+            for part in by_bytes(batch):
+                codes = pa.array([b"".join(map(code, t.split())) for t in texts_of(part.column(2))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes], names=["id0", "id1", "text"])
+
+    return keyed.select("id0", "id1", "text").mapInArrow(run, "id0 bigint, id1 bigint, text binary")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, width: int = WIDTH) -> DataFrame:
     """(id0, id1, spans): for each row key the ranges [first, last) of windows that are repeated."""
-    keyed = keyed_texts(docs, id_col, text_col)
+    return spans_of(keyed_texts(docs, id_col, text_col), crowd, width)
+
+
+def spans_of(keyed: DataFrame, crowd: int, width: int) -> DataFrame:
+    """The same of (id0, id1, text)."""
     segments = staged(segment_rows(keyed, size_of(width)), "segments")
     # An anchor that occurs once has no window that occurs twice.
     shared = segments.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
@@ -313,7 +357,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contents = segments.groupBy("anchor", "content").agg(F.sum("times").alias("n"), *[F.first(c).alias(c) for c in ("id0", "id1", "start", "windows")])
     contents = staged(contents, "contents")
     several = contents.groupBy("anchor").agg(F.count("*").alias("n_contents")).where("n_contents > 1")
-    salt = F.pmod(F.col("content"), F.ceil(F.col("n_contents") / crowd))
+    salt = F.pmod(F.xxhash64("content"), F.ceil(F.col("n_contents") / crowd))
     piece = F.struct("anchor", salt.cast("bigint").alias("salt"), "n_contents", "content", "start", "windows")
     wanted = contents.join(several, "anchor").groupBy("id0", "id1").agg(F.collect_list(piece).alias("pieces"))
     # Rows that repeat whole share a key, and one of them does for all.
@@ -353,17 +397,49 @@ def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def passage_spans(ranges: list[dict], text: bytes, words: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes from the first to the last word covered by the windows in ranges, which count the codes of words."""
+    first_last = [{"first": -(-r["first"] // CODE), "last": (r["last"] - 1) // CODE + 1} for r in ranges]
+    runs = merged_spans([r for r in first_last if r["first"] < r["last"]], len(text), words)
+    if not runs:
+        return []
+    places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    return [(places[a][0], places[b - 1][1]) for a, b in runs]
+
+
+Cut = Callable[[list[dict], bytes], list[tuple[int, int]]]
+
+
 def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, width: int = WIDTH, least_words: int = 0) -> DataFrame:
     """The columns in keep with n_bytes, n_removed, spans (removed byte ranges), kept_bytes and kept_text.
 
     Columns of docs with these names are replaced. kept_bytes are the bytes outside the spans. kept_text is a string: characters that a span
     cuts in the middle stay whole in it. Runs of fewer than least_words words, those cut at their ends included, stay.
     """
+
+    def cut(ranges: list[dict], text: bytes) -> list[tuple[int, int]]:
+        runs = merged_spans(ranges, len(text), width)
+        return [(a, b) for a, b in runs if len(text[a:b].split()) >= least_words] if least_words else runs
+
+    return without_spans(docs, keep, id_col, text_col, lambda keyed: spans_of(keyed, crowd, width), cut)
+
+
+def remove_passages(docs: DataFrame, keep: list[str], words: int, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """As remove_repeats, but every word covered by a run of `words` words that also starts anywhere else goes, with the white space inside the run."""
+
+    def cut(ranges: list[dict], text: bytes) -> list[tuple[int, int]]:
+        return passage_spans(ranges, text, words)
+
+    return without_spans(docs, keep, id_col, text_col, lambda keyed: spans_of(coded(keyed), crowd, CODE * words), cut)
+
+
+def without_spans(docs: DataFrame, keep: list[str], id_col: str, text_col: str, find: Callable[[DataFrame], DataFrame], cut: Cut) -> DataFrame:
+    """The columns in keep and ADDED. find gives the ranges of each row key, cut the bytes that go for them."""
     docs, names = sheltered(docs)
     id_at, text_at = names[id_col.lower()], names[text_col.lower()]
     passed = {c: names[c.lower()] for c in keep if c.lower() != text_col.lower() and c.lower() not in ADDED}
     places = list(passed.values())
-    spans = repeated_spans(docs, id_at, text_at, crowd, width)
+    spans = find(keyed_texts(docs, id_at, text_at))
     doc_id, text = F.col(id_at).cast("bigint"), F.coalesce(F.col(text_at).cast("string"), F.lit(""))
     rows = docs.select(*places, text.alias("text"), F.coalesce(doc_id, F.lit(0)).cast("bigint").alias("id0"), F.xxhash64(doc_id, text).alias("id1"))
 
@@ -387,14 +463,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", tex
                 out = []
                 for i in range(lo, min(lo + 256, batch.num_rows)):
                     text = squeeze.decompress(texts[i].as_py())
-                    cut = merged_spans(ranges[i].as_py() or [], len(text), width)
-                    if least_words:
-                        cut = [(a, b) for a, b in cut if len(text[a:b].split()) >= least_words]
-                    borders = [0, *(x for s in cut for x in s), len(text)]
+                    gone = cut(ranges[i].as_py() or [], text)
+                    borders = [0, *(x for s in gone for x in s), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
-                    borders = [0, *(x for s in cut for x in whole_characters(text, *s)), len(text)]
+                    borders = [0, *(x for s in gone for x in whole_characters(text, *s)), len(text)]
                     shown = b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
-                    out.append((len(text), sum(b - a for a, b in cut), [{"first": a, "last": b} for a, b in cut], kept, shown))
+                    out.append((len(text), sum(b - a for a, b in gone), [{"first": a, "last": b} for a, b in gone], kept, shown))
                 columns = list(zip(*out, strict=True))
                 part = batch.slice(lo, 256)
                 arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary()).cast(pa.string())]
