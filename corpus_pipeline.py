@@ -15,8 +15,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.3
-#: Passages of so many words, and of so many bytes (short words: four bytes each with the space), are removed where they repeat.
-LEAST_WORDS, LEAST_BYTES = 51, 200
+#: Passages of so many words are removed where they repeat.
+LEAST_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of over 50 words that repeat; a text may become empty. n_chars follows the text."""
     moved, back = set_aside(docs, suffix_dedup.ADDED)
-    got = suffix_dedup.remove_repeats(moved, moved.columns, width=LEAST_BYTES, least_words=LEAST_WORDS)
+    got = suffix_dedup.remove_passages(moved, moved.columns, LEAST_WORDS)
     return back(got.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}))
 
 
