@@ -6,10 +6,13 @@ the most code points stays, then the smallest doc_id, then the first row read.
 How it runs: every map task feeds its rows into a DigestIndex. Digests go to a memtable, which
 is flushed as a run sorted by digest with a Bloom filter. A row whose text is not in the memtable
 asks each run's filter and only then searches the run; a hit is verified byte by byte against
-the text stored there, which the new entry then shares. When runs pile up they are merged:
-compaction keeps one entry for each text, with the smallest identifier and the sum of rows. An
-index that holds MOST_BYTES of texts gives out its entries and starts anew, so a map task's
-memory does not grow with its partition, and a text that makes up a third of all rows costs the
+the text stored there, and the new entry then names that text by its number. Runs stand in
+levels: MOST_RUNS runs of a level are merged into one of the next, so an entry is merged once
+for each level, of which there are as many as the logarithm of the rows. Compaction keeps one
+entry for each text, with the smallest identifier and the sum of rows. Runs are numpy columns,
+and texts lie in a log of their own, each once. An index that holds MOST_BYTES of texts or
+MOST_ROWS entries gives out its entries and starts anew, so a map task's memory and the time of
+a row do not grow with its partition, and a text that makes up a third of all rows costs the
 shuffle a few entries for each task. The last compaction is Spark's: entries are shuffled by
 digest and sorted, which merges the tasks' runs on disk, and a task holds the entries of one
 digest at a time. Rows then look their group up by digest in a join whose skew Spark can split,
@@ -28,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from heapq import merge
 from itertools import groupby
 from operator import eq, itemgetter
 
@@ -42,36 +44,64 @@ from pyspark.sql.types import DataType, StructType
 from ._common import WHITE, by_bytes, set_aside, sheltered, staged, texts_of
 
 MEMTABLE_ROWS = 4096
-#: Bytes of packed texts in an index before its entries are given out.
-MOST_BYTES = 64 << 20
+#: Bytes of packed texts, and entries, in an index before its entries are given out.
+MOST_BYTES, MOST_ROWS = 64 << 20, 1 << 18
+#: Runs of a level before they are merged into one of the next.
 MOST_RUNS = 4
 FILTER_BITS_PER_KEY = 10
 
 
+#: A run's columns: digest, number of the text, identifier, rows.
+COLUMNS = np.dtype([("key", "<i8"), ("text", "<i8"), ("less", "<i8"), ("no_id", "?"), ("doc_id", "<i8"), ("row", "<i8"), ("n", "<i8")])
+
+
 class Run:
-    """Entries that are sorted by digest; keys is the numpy array of digests, with a Bloom filter."""
-
-    def __init__(self, entries: list[list]):
-        self.entries = entries
-        self.keys = np.fromiter((e[0] for e in self.entries), np.int64, len(entries))
-        self.bits = max(64, FILTER_BITS_PER_KEY * len(entries))
-        self.filter = bytearray(self.bits // 8 + 1)
-        for key in self.keys.tolist():
-            for b in self.places(key):
-                self.filter[b >> 3] |= 1 << (b & 7)
-
-    def places(self, key: int) -> tuple[int, int, int]:
-        # A digest is random already; a multiplication makes further independent places.
-        a, b = key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, key * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
-        return (a >> 20) % self.bits, (b >> 20) % self.bits, ((a ^ b) >> 20) % self.bits
+    """Entries (COLUMNS) that are sorted by digest, their payloads, and a Bloom filter."""
 
-    def at(self, key: int) -> Iterator[list]:
-        """The entries with this digest."""
-        if all(self.filter[b >> 3] >> (b & 7) & 1 for b in self.places(key)):
-            i = int(np.searchsorted(self.keys, key))
-            while i < len(self.entries) and self.entries[i][0] == key:
-                yield self.entries[i]
-                i += 1
+    def __init__(self, entries: np.ndarray, payloads: np.ndarray):
+        self.entries, self.payloads = entries, payloads
+        self.keys = np.ascontiguousarray(entries["key"])
+        self.bits = np.uint64(max(64, FILTER_BITS_PER_KEY * len(entries)))
+        self.filter = np.zeros(int(self.bits) // 8 + 1, np.uint8)
+        for place in self.places(self.keys):
+            np.bitwise_or.at(self.filter, place >> np.uint64(3), self.bit(place))
+
+    def places(self, keys: np.ndarray) -> list[np.ndarray]:
+        # A digest is random already; a multiplication makes further independent places.
+        u = keys.view(np.uint64)
+        a, b = u * np.uint64(0x9E3779B97F4A7C15), u * np.uint64(0xC2B2AE3D27D4EB4F)
+        return [(x >> np.uint64(20)) % self.bits for x in (a, b, a ^ b)]
+
+    @staticmethod
+    def bit(place: np.ndarray) -> np.ndarray:
+        return np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of keys, where its first entry is) of those that the run has; only those that pass the filter are searched."""
+        which = np.arange(len(keys))
+        for place in self.places(keys):
+            which = which[self.filter[(p := place[which]) >> np.uint64(3)] & self.bit(p) != 0]
+        at = np.searchsorted(self.keys, keys[which])
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys[which]
+        return which[hit], at[hit]
+
+    def texts(self, at: int) -> list[int]:
+        """Numbers of the texts with the digest of the entry at a place, which is the first of it."""
+        end = at
+        while end < len(self.keys) and self.keys[end] == self.keys[at]:
+            end += 1
+        return self.entries["text"][at:end].tolist()
+
+
+def reduced(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
+    """Compaction: one entry for each text of the runs, with its smallest identifier and all its rows, sorted by digest."""
+    e, payloads = np.concatenate([r.entries for r in runs]), np.concatenate([r.payloads for r in runs])
+    order = np.lexsort([e[c] for c in ("row", "doc_id", "no_id", "less", "text", "key")])
+    e = e[order]
+    first = np.flatnonzero(np.concatenate([[True], e["text"][1:] != e["text"][:-1]]))
+    out = e[first]
+    out["n"] = np.add.reduceat(e["n"], first)
+    return out, payloads[order[first]]
 
 
 Same = Callable[[bytes, bytes], bool]
@@ -106,39 +136,77 @@ class DigestIndex:
         self.clear()
 
     def clear(self) -> None:
+        #: As entries, with the text's number for its bytes.
         self.memtable: dict[int, list[list]] = {}
-        self.runs: list[Run] = []
+        self.levels: list[list[Run]] = []
+        self.texts: list[bytes] = []
         self.held, self.bytes = 0, 0
 
+    @property
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    @property
+    def rows(self) -> int:
+        return self.held + sum(len(r.entries) for r in self.runs)
+
     def add(self, digest: int, packed: bytes, identifier: tuple, rows: int, payload: object) -> None:
+        self.add_all([[digest, packed, identifier, rows, payload]])
+
+    def add_all(self, entries: list[list]) -> None:
+        """Add entries; runs are searched for many at a time."""
+        for begin in range(0, len(entries), MEMTABLE_ROWS):
+            part = entries[begin : begin + MEMTABLE_ROWS]
+            keys = np.array([e[0] for e in part], np.int64)
+            known: dict[int, list[int]] = {}
+            for run in self.runs:
+                for i, at in zip(*(x.tolist() for x in run.find(keys)), strict=True):
+                    known.setdefault(i, []).extend(run.texts(at))
+            for i, entry in enumerate(part):
+                self.put(entry, known.get(i, ()))
+            if self.held >= MEMTABLE_ROWS:
+                self.flush()
+
+    def put(self, entry: list, known: Iterable[int]) -> None:
+        """Add an entry to the memtable; known are the texts in runs that have its digest."""
+        digest, packed, identifier, rows, payload = entry
         for e in self.memtable.get(digest, ()):
-            if self.same(e[1], packed):
+            if self.same(self.texts[e[1]], packed):
                 return take(e, identifier, rows, payload)
-        stored = next((e[1] for r in self.runs for e in r.at(digest) if self.same(e[1], packed)), None)
-        if stored is None:
-            stored = packed
+        text = next((t for t in known if self.same(self.texts[t], packed)), None)
+        if text is None:
+            text = len(self.texts)
+            self.texts.append(packed)
             self.bytes += len(packed)
-        self.memtable.setdefault(digest, []).append([digest, stored, identifier, rows, payload])
+        self.memtable.setdefault(digest, []).append([digest, text, identifier, rows, payload])
         self.held += 1
-        if self.held >= MEMTABLE_ROWS:
-            self.flush()
 
     def flush(self) -> None:
-        if self.held:
-            self.runs.append(Run(sorted((e for es in self.memtable.values() for e in es), key=itemgetter(0))))
-            self.memtable, self.held = {}, 0
-        if len(self.runs) > MOST_RUNS:
-            self.runs.sort(key=lambda r: len(r.entries))
-            n = MOST_RUNS // 2 + 1
-            self.runs = [*self.runs[n:], Run(list(self.merged(self.runs[:n])))]
-
-    def merged(self, runs: list[Run]) -> Iterator[list]:
-        return compacted(merge(*[r.entries for r in runs], key=itemgetter(0)), self.same)
+        if not self.held:
+            return
+        rows = sorted((e for es in self.memtable.values() for e in es), key=itemgetter(0, 1))
+        payloads = np.empty(len(rows), object)
+        payloads[:] = [e[4] for e in rows]
+        self.memtable, self.held = {}, 0
+        run, level = Run(np.array([(e[0], e[1], *e[2], e[3]) for e in rows], COLUMNS), payloads), 0
+        while True:
+            if len(self.levels) <= level:
+                self.levels.append([])
+            self.levels[level].append(run)
+            if len(self.levels[level]) < MOST_RUNS:
+                return
+            run, self.levels[level], level = Run(*reduced(self.levels[level])), [], level + 1
 
     def entries(self) -> Iterator[list]:
         """All entries, one for each text, sorted by digest."""
         self.flush()
-        return self.merged(self.runs)
+        if not self.runs:
+            return
+        whole, payloads = reduced(self.runs)
+        for begin in range(0, len(whole), MEMTABLE_ROWS):
+            part = whole[begin : begin + MEMTABLE_ROWS]
+            for (key, text, *identifier, n), payload in zip(part.tolist(), payloads[begin : begin + MEMTABLE_ROWS], strict=True):
+                yield [key, self.texts[text], tuple(identifier), n, payload]
 
 
 def with_keys(docs: DataFrame, text_col: str, digest_bits: int) -> DataFrame:
@@ -194,16 +262,18 @@ def written(entries: Iterable[list]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def indexed(rows: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+def indexed(rows: DataFrame, most_bytes: int = MOST_BYTES, most_rows: int = MOST_ROWS) -> DataFrame:
     """Of rows with ENTRY's columns: an entry for each distinct text that a task holds at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestIndex(same_text())
-        for e in read_entries(batches):
-            index.add(*e)
-            if index.bytes > most_bytes:
-                yield from written(index.entries())
-                index.clear()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, MEMTABLE_ROWS):
+                for part in by_bytes(batch.slice(begin, MEMTABLE_ROWS), "packed"):
+                    index.add_all(list(read_entries(iter([part]))))
+                    if index.bytes > most_bytes or index.rows > most_rows:
+                        yield from written(index.entries())
+                        index.clear()
         yield from written(index.entries())
 
     return rows.mapInArrow(run, ENTRY)
