@@ -6,6 +6,13 @@ the key's earlier flow was in. The windows below are exactly equal to a fold ove
 of a key in order of arrival: between two packets that set a state, the first break resets it.
 
 All windows of a key share one shuffle; aggregation follows on the same partitioning.
+
+A key with over MOST_ROWS packets is cut into stretches of time, dealt by ranges of the order, so
+its packets are spread over tasks. What a stretch does to the state is a function of the state it
+is entered with: if a packet in it sets a state, the state it leaves is known without that;
+if none does, it leaves New if a gap is too long for the state it is entered with, and else that
+state. So stretches are summed up on their own, the functions of a key's few stretches are
+composed in order, and then each stretch is walked with the state and time it is entered with.
 """
 
 from __future__ import annotations
@@ -14,11 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.protocols import OTHER_TIMEOUT, TCP_TIMEOUT, TIMEOUT, choose
+from ..functions.staging import staged
 from ..sources.packet_view import with_keys
 
 KEY = ["key_a", "port_a", "key_b", "port_b", "proto"]
 ORDER = ["ts_us", "pkt_id"]
+#: Columns of packets that flows are made of.
+NEEDED = [*ORDER, "l4", "app", "src_ip", "dst_ip", "src_port", "dst_port", "len", "syn", "ack", "fin", "rst"]
 SECOND = 1_000_000
+#: Packets of one key that a task takes in order; a key with more is cut into stretches.
+MOST_ROWS = 1 << 22
+STATES = ["New", "Established", "Closing"]
 
 
 def canonical(packets: DataFrame) -> DataFrame:
@@ -43,27 +56,76 @@ def timeout_us(state: Column) -> Column:
     return F.when(F.col("proto") == "Tcp", tcp).otherwise(choose(F.col("proto"), TIMEOUT, OTHER_TIMEOUT)).cast("bigint") * SECOND
 
 
-def in_flows(packets: DataFrame, tick_s: int = 0) -> DataFrame:
+def in_flows(packets: DataFrame, tick_s: int = 0, most_rows: int = MOST_ROWS) -> DataFrame:
     """packets with the key's columns, flow_no (from 1 within a key) and state (after the packet).
 
     With tick_s, idle flows end only at ticks of so many seconds, so a packet that comes
     before the tick revives its flow.
     """
-    by_key = Window.partitionBy(*KEY).orderBy(*ORDER)
-    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
     p = canonical(packets).withColumn("sets", stated())
-    p = p.withColumns({"before_us": F.lag("ts_us").over(by_key), "run_end": F.count("sets").over(so_far)})
+    hot = staged(p.groupBy(*KEY).count().where(F.col("count") > most_rows).select(*KEY), "hot_keys")
+    if hot.isEmpty():
+        return walked(p, KEY, tick_s).drop("sets")
+    cold = walked(p.join(hot, KEY, "left_anti"), KEY, tick_s)
+    return cold.unionByName(in_stretches(p.join(hot, KEY, "left_semi"), tick_s)).drop("sets")
+
+
+def walked(p: DataFrame, by: list[str], tick_s: int, in_us: Column | None = None, in_state: Column | None = None) -> DataFrame:
+    """p (see canonical, with sets) with state, and flow_no counted within `by`, a key or a stretch of it that is entered with a time and a state."""
+    before, entered = in_us if in_us is not None else F.lit(None).cast("bigint"), in_state if in_state is not None else F.lit("New")
+    by_key = Window.partitionBy(*by).orderBy(*ORDER)
+    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumns({"before_us": F.coalesce(F.lag("ts_us").over(by_key), before), "run_end": F.count("sets").over(so_far)})
     # A row belongs to the run of the packet before it: that one's state decides on a break.
     p = p.withColumn("run", F.col("run_end") - F.col("sets").isNotNull().cast("int"))
-    by_run = Window.partitionBy(*KEY, "run").orderBy(*ORDER)
-    p = p.withColumn("last_set", F.coalesce(F.last("sets", ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit("New")))
+    by_run = Window.partitionBy(*by, "run").orderBy(*ORDER)
+    p = p.withColumn("last_set", F.coalesce(F.last("sets", ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), entered, F.lit("New")))
     p = p.withColumn("late_for_run", over(timeout_us(F.col("last_set")), tick_s))
     p = p.withColumn("reset_before", F.coalesce(F.max("late_for_run").over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     p = p.withColumn("breaks", F.when(F.col("reset_before"), over(timeout_us(F.lit("New")), tick_s)).otherwise(F.col("late_for_run")))
     p = p.withColumn("flow_no", F.sum(F.col("breaks").cast("bigint")).over(so_far) + 1)
     kept = F.when(F.col("reset_before") | F.col("breaks"), F.lit("New")).otherwise(F.col("last_set"))
     p = p.withColumn("state", F.coalesce("sets", kept))
-    return p.drop("sets", "before_us", "run_end", "run", "last_set", "late_for_run", "reset_before", "breaks")
+    return p.drop("before_us", "run_end", "run", "last_set", "late_for_run", "reset_before", "breaks")
+
+
+def in_stretches(p: DataFrame, tick_s: int) -> DataFrame:
+    """What walked gives for whole keys, with the packets of a key in many tasks."""
+    dealt = stretched(p)
+    part = [*KEY, "stretch"]
+    mine = walked(dealt.join(entered_with(dealt, tick_s), part, "left"), part, tick_s, F.col("in_us"), F.col("in_state")).drop("in_us", "in_state")
+    mine = staged(mine, "walked")
+    in_order = Window.partitionBy(*KEY).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    broken = mine.groupBy(*part).agg((F.max("flow_no") - 1).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).drop("n")
+    return mine.join(broken, part).withColumn("flow_no", F.col("flow_no") + F.col("before")).drop("before", "stretch")
+
+
+def stretched(p: DataFrame) -> DataFrame:
+    """p with stretch, a number for each range of key and order. Ranges come from a sample, so rows are written with theirs once."""
+    return staged(p.repartitionByRange(*KEY, *ORDER).withColumn("stretch", F.spark_partition_id()), "stretches")
+
+
+def entered_with(dealt: DataFrame, tick_s: int) -> DataFrame:
+    """(KEY, stretch, in_us, in_state): the time of the packet before each stretch, and the state after it."""
+    part = [*KEY, "stretch"]
+    alone = walked(dealt, part, tick_s)
+    lag = F.lag("ts_us").over(Window.partitionBy(*part).orderBy(*ORDER))
+    alone = alone.withColumn("before_us", lag).withColumns({f"late_{s}": over(timeout_us(F.lit(s)), tick_s) for s in STATES})
+    summed = alone.groupBy(*part).agg(
+        (F.count("sets") > 0).alias("known"), F.max_by("state", F.struct(*ORDER)).alias("after"), F.min("ts_us").alias("ts_us"), F.max("ts_us").alias("last_us"), *[F.max(f"late_{s}").alias(f"late_{s}") for s in STATES]
+    )
+    summed = summed.withColumn("before_us", F.lag("last_us").over(Window.partitionBy(*KEY).orderBy("stretch")))
+    summed = summed.withColumns({f"late_{s}": F.col(f"late_{s}") | over(timeout_us(F.lit(s)), tick_s) for s in STATES})
+    rows = F.array_sort(F.collect_list(F.struct("stretch", "before_us", "known", "after", *[f"late_{s}" for s in STATES])))  # as many as there are ranges
+    start = F.struct(F.lit("New").alias("s"), F.array().cast("array<struct<stretch:int,in_us:bigint,in_state:string>>").alias("entered"))
+
+    def step(acc: Column, x: Column) -> Column:
+        late = F.coalesce(*[F.when(acc["s"] == s, x[f"late_{s}"]) for s in STATES])
+        leaves = F.when(x["known"], x["after"]).when(late, F.lit("New")).otherwise(acc["s"])
+        here = F.struct(x["stretch"].alias("stretch"), x["before_us"].alias("in_us"), acc["s"].alias("in_state"))
+        return F.struct(leaves.alias("s"), F.concat(acc["entered"], F.array(here)).alias("entered"))
+
+    return summed.groupBy(*KEY).agg(F.explode(F.aggregate(rows, start, step)["entered"]).alias("e")).select(*KEY, "e.*")
 
 
 def over(timeout: Column, tick_s: int) -> Column:
@@ -77,9 +139,9 @@ def over(timeout: Column, tick_s: int) -> Column:
     return F.coalesce(late, F.lit(False))
 
 
-def flow_table(packets: DataFrame, tick_s: int = 0) -> DataFrame:
+def flow_table(packets: DataFrame, tick_s: int = 0, most_rows: int = MOST_ROWS) -> DataFrame:
     """One row for each flow, with packets and bytes by direction (forward: from side a)."""
-    p = in_flows(packets, tick_s)
+    p = in_flows(packets.select(*NEEDED), tick_s, most_rows)
     size, first, last = F.col("len").cast("bigint"), F.struct("ts_us", "pkt_id"), F.struct("ts_us", "pkt_id")
     total = lambda cond, what, name: F.sum(F.when(cond, what).otherwise(F.lit(0).cast("bigint"))).alias(name)
     one, fwd = F.lit(1).cast("bigint"), F.col("fwd")
