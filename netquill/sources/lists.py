@@ -7,13 +7,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ip import ip_key, key_of, key_range
 
-#: A cap on the rules that become one expression; more would make plans that are slow to compile.
+#: A cap on the rules that become one expression; more would make plans that are slow to compile, and are a table (rule_table).
 MOST_RULES = 2000
+RULE = "no bigint, proto string, src string, src_lo int, src_hi int, dst string, dst_lo int, dst_hi int, sid bigint, msg string, content string"
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -106,13 +107,36 @@ def parse_rules(lines: list[str]) -> list[dict]:
 
 
 def read_rules(spark: SparkSession, path: str) -> list[dict]:
-    """The rules of a file, on the driver: a file of over MOST_RULES lines is an error."""
+    """The rules of a file, on the driver: a file of over MOST_RULES lines is an error; read_rule_table takes any."""
     lines = [r.value for r in spark.read.text(path, wholetext=False).limit(MOST_RULES + 1).collect()]
     if len(lines) > MOST_RULES:
         raise ValueError(f"over {MOST_RULES} lines of rules")
     return parse_rules(lines)
 
 
+def rule_table(files: DataFrame) -> DataFrame:
+    """Of whole rule files (value): their rules, RULE rows, numbered in file order. A file is parsed in one task, several in the order of their names (path)."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in RULE.split(", ")]
+        for frame in frames:
+            for number, text in zip(frame["file_no"], frame["value"], strict=True):
+                lines, rows = (text or "").splitlines(), []
+                for i, line in enumerate(lines):
+                    if line.strip() and not line.strip().startswith("#") and (rule := parse_rule(line)):
+                        rows.append([(int(number) << 32) + i, *(rule[c] for c in names[1:])])
+                frame_of = pd.DataFrame(rows, columns=names)
+                yield frame_of.astype({c: "Int64" for c in ("src_lo", "src_hi", "dst_lo", "dst_hi")})
+
+    return files.select("file_no", "value").mapInPandas(parse, RULE)
+
+
+def read_rule_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a file or folder as a table, however many they are."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return rule_table(files.withColumn("file_no", F.row_number().over(Window.orderBy("path"))))
+
+
 def read_geo(spark: SparkSession, path: str, value: str) -> DataFrame:
     """A CSV or Parquet table of (first, last, value) address ranges as (lo, hi, value)."""
     if path.rstrip("/").endswith(".parquet"):
