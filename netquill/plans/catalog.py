@@ -139,6 +139,9 @@ NOW_US = 1704067200000000 + 1_500_000_000
 FLOW = "key_a, port_a, key_b, port_b, proto, flow_no"
 from_packets("canonical_key", f"{WITH}, {KEYED_SQL} SELECT pkt_id, key_a, port_a, key_b, port_b, proto, src_key = key_a AS fwd FROM tupled", lambda p: flows.canonical(p).select("pkt_id", *flows.KEY, "fwd"))
 from_packets("flow_table", f"{WITH_FLOWS} SELECT * FROM flows", flows.flow_table)
+LATE = FLOWS_SQL[FLOWS_SQL.index("o.ts_us - f.ts_us >= ") : FLOWS_SQL.index(" AS late")]
+TICK_LATE = f"(f.ts_us + {LATE.removeprefix('o.ts_us - f.ts_us >= ')} + 29999999) // 30000000 * 30000000 < o.ts_us"
+from_packets("flow_table_ticks", f"WITH RECURSIVE {PACKETS_SQL}, {FLOWS_SQL.replace(LATE, TICK_LATE)} SELECT * FROM flows", lambda p: flows.flow_table(p, tick_s=30))
 from_packets("flow_active_at", f"WITH RECURSIVE {PACKETS_SQL.replace('FROM sided)', f'FROM sided WHERE ts_us <= {NOW_US})')}, {FLOWS_SQL} SELECT {FLOW}, last_us, state FROM ending WHERE NOT older AND end_us > {NOW_US}",
              lambda p: flows.active(p, NOW_US).select(*flows.KEY, "flow_no", "last_us", "state"))
 from_packets("flow_active_count", f"WITH RECURSIVE {PACKETS_SQL.replace('FROM sided)', f'FROM sided WHERE ts_us <= {NOW_US})')}, {FLOWS_SQL} SELECT count(*) AS active FROM ending WHERE NOT older AND end_us > {NOW_US}",
@@ -259,8 +262,26 @@ from_packets("eve_alert_fields", f"{WITH}, {NUMBERED_SQL} SELECT {STAMP.format('
              lambda p: eve.alert_fields(numbered(p)).select("timestamp", "event_type", "src_ip", "src_port", "dest_ip", "dest_port", "alert.signature_id", "alert.signature", "alert.category", "alert.severity"))
 from_packets("eve_flow_fields", f"{WITH_FLOWS} SELECT {STAMP.format('last_us', 'last_us')} AS timestamp, 'flow' AS event_type, ip_a AS src_ip, port_a AS src_port, ip_b AS dest_ip, port_b AS dest_port, upper(proto) AS proto, packets_fwd AS pkts_toserver, packets_rev AS pkts_toclient, bytes_fwd AS bytes_toserver, bytes_rev AS bytes_toclient, {STAMP.format('first_us', 'first_us')} AS start, {STAMP.format('last_us', 'last_us')} AS \"end\", lower(state) AS state FROM flows",
              lambda p: eve.flow_fields(flows.flow_table(p)).select("timestamp", "event_type", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "flow.*"))
-from_packets("eve_alert_json", None, lambda p: eve.json_lines(eve.alert_fields(numbered(p))))
-from_packets("eve_flow_json", None, lambda p: eve.json_lines(eve.flow_fields(flows.flow_table(p))))
+
+
+def json_sql(fields: str, nested: tuple[str, str]) -> str:
+    """SQL text that writes columns (name, name=expression, and a trailing # for numbers) as a JSON line without nulls, and one nested object at the end."""
+
+    def members(names: str) -> str:
+        out = []
+        for f in names.split():
+            name, _, value = f.rstrip("#").partition("=")
+            quote = "" if f.endswith("#") else '"'
+            out.append(f"""'"{name}":{quote}' || {value or f'"{name}"'} || '{quote}'""")
+        return f"array_to_string(list_filter([{', '.join(out)}], lambda x: x IS NOT NULL), ',')"
+
+    return f"""'{{' || {members(fields)} || ',"{nested[0]}":{{' || {members(nested[1])} || '}}}}' AS value"""
+
+
+ALERT_JSON = json_sql("timestamp event_type src_ip src_port# dest_ip dest_port#", ("alert", "action='allowed' gid=1# signature_id# rev=1# signature category severity#"))
+FLOW_JSON = json_sql("timestamp event_type src_ip src_port# dest_ip dest_port# proto", ("flow", "pkts_toserver# pkts_toclient# bytes_toserver# bytes_toclient# start end state"))
+from_packets("eve_alert_json", SQL["eve_alert_fields"].replace("SELECT strftime", f"SELECT {ALERT_JSON} FROM (SELECT strftime", 1) + ")", lambda p: eve.json_lines(eve.alert_fields(numbered(p))))
+from_packets("eve_flow_json", SQL["eve_flow_fields"].replace("SELECT strftime", f"SELECT {FLOW_JSON} FROM (SELECT strftime", 1) + ")", lambda p: eve.json_lines(eve.flow_fields(flows.flow_table(p))))
 CLOCK = "strftime(make_timestamp(ts_us), '%H:%M:%S.') || lpad((ts_us % 1000000)::VARCHAR, 6, '0')"
 from_packets("read_lines", f"{WITH} SELECT pkt_id, {CLOCK} || ' Some(' || l4 || ') ' || src_ip || ':' || coalesce(src_port, 0) || ' → ' || dst_ip || ':' || coalesce(dst_port, 0) || ' ' || len || ' bytes' AS line FROM packets", lambda p: p.select("pkt_id", eve.read_line().alias("line")))
 from_packets("capture_lines", f"{WITH} SELECT pkt_id, '[' || substr({CLOCK}, 1, 12) || '] events ' || l4 || ' ' || src_ip || ':' || coalesce(src_port, 0) || ' → ' || dst_ip || ':' || coalesce(dst_port, 0) || ' (' || len || ' bytes)' AS line FROM packets", lambda p: p.select("pkt_id", eve.capture_line().alias("line")))
@@ -281,6 +302,25 @@ DECODED = ["pkt_id", "ts_us", "interface", "l3", "l4", "app", "src_ip", "dst_ip"
 DECODED_SQL = f"SELECT {', '.join(c if c not in ('syn', 'ack', 'fin', 'rst', 'app') else f'''CASE WHEN l4 = 'Tcp' THEN {c} ELSE false END AS {c}''' if c != 'app' else 'app' for c in DECODED)}, length(payload_hex) // 2 AS payload_len, payload_hex FROM packets"
 from_packets("decode_packets", f"{WITH} {DECODED_SQL}", lambda p: decode.decode_frames(raw_frames(p)).select(*DECODED, "payload_len", F.lower(F.hex("payload")).alias("payload_hex")))
 from_packets("decode_checksum", f"{WITH} SELECT pkt_id, false AS ok, 2048 AS ethertype FROM packets", lambda p: raw_frames(p).select("pkt_id", decode.ipv4(F.col("data"), 14)["checksum_ok"].alias("ok"), decode.ethernet(F.col("data"))["ethertype"].alias("ethertype")))
+from_packets("decode_checksum_real", f"{WITH} SELECT pkt_id, pkt_id % 3 <> 0 AS ok, CASE WHEN pkt_id % 3 <> 0 THEN 0 ELSE 1 END AS wrong FROM packets",
+             lambda p: raw_frames(p).select("pkt_id", decode.ipv4(encode.with_checksum(F.col("data"), F.col("pkt_id") % 3 == 0), 14)["checksum_ok"].alias("ok"), (F.col("pkt_id") % 3 == 0).cast("int").alias("wrong")))
+
+
+def frames6(p: DataFrame) -> DataFrame:
+    """The packets view over IPv6, from 2001:db8::1:x to fe80::y, with no, one or two VLAN tags."""
+    src = F.concat(F.lit("20010db80000000000000000"), F.lpad(F.lit("1"), 4, "0"), F.lpad(F.hex(F.col("pkt_id") % 65535 + 1), 4, "0"))
+    dst = F.concat(F.lit("fe80"), F.lpad(F.hex(F.col("pkt_id") % 1000 + 1), 28, "0"))
+    data = encode.frame6(src, dst, F.col("payload_hex"), (F.col("pkt_id") % 3).cast("int"), F.col("pkt_id") % 4096)
+    return p.withColumn("tcp_seq", F.col("pkt_id")).select("pkt_id", "ts_us", "interface", data.alias("data"))
+
+
+V6_SQL = "'2001:db8::1:' || lower(to_hex(pkt_id % 65535 + 1)) AS src_ip, 'fe80::' || lower(to_hex(pkt_id % 1000 + 1)) AS dst_ip"
+from_packets("decode_ipv6", f"{WITH} SELECT pkt_id, 'IPv6' AS l3, CASE l4 WHEN 'Icmp' THEN 'IcmpV6' ELSE l4 END AS l4, {V6_SQL}, src_port, dst_port, app, length(payload_hex) // 2 AS payload_len, payload_hex FROM packets",
+             lambda p: decode.decode_frames(frames6(p)).select("pkt_id", "l3", "l4", "src_ip", "dst_ip", "src_port", "dst_port", "app", "payload_len", F.lower(F.hex("payload")).alias("payload_hex")))
+from_packets("decode_vlan", f"{WITH} SELECT pkt_id, CASE WHEN pkt_id % 3 > 0 THEN pkt_id % 4096 END AS vlan_id, 34525 AS ethertype, 14 + 4 * (pkt_id % 3) AS consumed, ttl AS hop_limit, {V6_SQL.replace('src_ip', 'src').replace('dst_ip', 'dst')} FROM packets",
+             lambda p: frames6(p).withColumn("e", decode.ethernet(F.col("data"))).withColumn("ip", decode.ipv6(F.col("data"), F.col("e.consumed"))).select("pkt_id", "e.vlan_id", "e.ethertype", "e.consumed", "ip.hop_limit", "ip.src", "ip.dst"))
+from_packets("decode_icmp", f"{WITH} SELECT pkt_id, pkt_id % 41 AS type, pkt_id % 17 AS code, (pkt_id * 7919) % 65536 AS checksum, pkt_id AS rest FROM packets",
+             lambda p: p.select("pkt_id", decode.icmp(F.unhex(F.concat(encode.big_endian(F.col("pkt_id") % 41, 1), encode.big_endian(F.col("pkt_id") % 17, 1), encode.big_endian(F.col("pkt_id") * 7919 % 65536, 2), encode.big_endian(F.col("pkt_id"), 4)))).alias("i")).select("pkt_id", "i.type", "i.code", "i.checksum", "i.rest"))
 #: Accept TCP packets to port 443 or 4444, by the fields of an untagged IPv4 frame.
 PROGRAM = [(0x28, 0, 0, 12), (0x15, 0, 7, 0x800), (0x30, 0, 0, 23), (0x15, 0, 5, 6), (0xB1, 0, 0, 14), (0x48, 0, 0, 16), (0x15, 1, 0, 443), (0x15, 0, 1, 4444), (0x06, 0, 0, 65535), (0x06, 0, 0, 0)]
 from_packets("bpf_exec", f"{WITH} SELECT pkt_id, CASE WHEN l4 = 'Tcp' AND dst_port IN (443, 4444) THEN 65535 ELSE 0 END::BIGINT AS accepted FROM packets", lambda p: raw_frames(p).select("pkt_id", bpf.accepted(PROGRAM, F.col("data")).alias("accepted")))
@@ -297,6 +337,12 @@ def dns_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.select("page_id", names.dns_query_name("m").alias("name"), decode.dns_header(F.col("m"))["qdcount"].alias("qdcount"))
 
 
+@query(f"SELECT page_id, 'www.' || {HOST_SQL} AS name, 1 AS qdcount FROM pages")
+def dns_compressed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = hosts(spark, sf_dir).select("page_id", encode.dns_compressed(F.col("host")).alias("m"))
+    return messages.select("page_id", names.dns_query_name("m").alias("name"), decode.dns_header(F.col("m"))["qdcount"].alias("qdcount"))
+
+
 @query(f"SELECT page_id, {HOST_SQL} AS name, 772 AS version FROM pages")
 def tls_sni(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = hosts(spark, sf_dir).select("page_id", names.tls_fields(encode.hello(F.col("host"))).alias("t"))
@@ -355,5 +401,11 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
-from_packets("rotate_assign", None, lambda p: pcap.rotated(raw_frames(p).withColumns({"seq": F.col("pkt_id"), "wire_len": F.length("data").cast("bigint"), "link": F.lit(1).cast("bigint")}), max_seconds=600).groupBy("interface", "file_no").agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us")))
+ROTATE_SQL = f"""WITH RECURSIVE {PACKETS_SQL},
+starts AS (
+    SELECT 0::BIGINT AS file_no, min(ts_us) AS begins FROM packets
+    UNION ALL SELECT s.file_no + 1, min(p.ts_us) FROM starts s JOIN packets p ON p.ts_us >= s.begins + 600000000 GROUP BY s.file_no),
+files AS (SELECT file_no, begins, lead(begins) OVER (ORDER BY begins) AS ends FROM starts)
+SELECT 'events' AS interface, file_no, count(*) AS packets, min(ts_us) AS first_us FROM packets JOIN files ON ts_us >= begins AND (ends IS NULL OR ts_us < ends) GROUP BY file_no"""
+from_packets("rotate_assign", ROTATE_SQL, lambda p: pcap.rotated(raw_frames(p).withColumns({"seq": F.col("pkt_id"), "wire_len": F.length("data").cast("bigint"), "link": F.lit(1).cast("bigint")}), max_seconds=600).groupBy("interface", "file_no").agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us")))
 from_packets("event_rules", f"{WITH} SELECT pkt_id, '[own] ' || src_ip AS message FROM packets WHERE len > 1400", lambda p: alerts.stateless(p, [F.when(F.col("len") > 1400, alerts.alert(99, "Own", "Low", "Own", F.concat(F.lit("[own] "), F.col("src_ip"))))]).select("pkt_id", "message"))
