@@ -81,7 +81,8 @@ def dimension_sums(x: DataFrame, d: int) -> tuple[int, list[int], int]:
 def pair_sums(x: DataFrame, means: list[float]) -> np.ndarray:
     """The matrix of sums of centred products, from one aggregation with an expression for each pair."""
     d = len(means)
-    centred = x.select((F.spark_partition_id() % GROUPS).alias("task"), *[F.expr(f"cast(x[{i}] as double) - {m!r}D as c{i}") for i, m in enumerate(means)])
+    # No entry is null; where Spark knows that, the code that it makes for each sum is half as long.
+    centred = x.select((F.spark_partition_id() % GROUPS).alias("task"), *[F.expr(f"cast(coalesce(x[{i}], 0L) as double) - {m!r}D as c{i}") for i, m in enumerate(means)])
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     rows = centred.groupBy("task").agg(*[F.expr(f"sum(c{i} * c{j}) as p{i}_{j}") for i, j in pairs]).drop("task").collect()  # at most GROUPS rows
     out = np.empty((d, d))
