@@ -34,6 +34,45 @@ REMEMBERED = 400_000
 REMEMBERED_BYTES = 64
 
 
+# Where the library's Unicode tables differ from those of Python and its regex module. Its letters and numbers are
+# those of Unicode 16, its lower case is that of Unicode 17, and its normal form knows no marks and compositions that came after Unicode 9.
+NEWER_LETTERS = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1"
+    r"\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20"
+    r"\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24"
+    r"\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5"
+    r"\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD"
+)
+NEWER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
+NEWER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 32 for c in range(0x10D50, 0x10D66)}, **{c: c + 27 for c in range(0x16EA0, 0x16EB9)},
+}
+NEWER_MARKS = (
+    r"\u0898\u089C-\u089F\u08CA-\u08CE\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1AC1-\u1AC2\u1AC5-\u1AC9\u1ACB-\u1ACE\u1DF6-\u1DF8\u1DFA\uA82C"
+    r"\U00010D24-\U00010D27\U00010EAB-\U00010EAC\U00010F48-\U00010F4A\U00010F4C\U00010F82\U00010F84\U00011070\U0001133B\U0001145E\U00011839-\U0001183A\U00011930"
+    r"\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45\U00011D97\U00011F41-\U00011F42"
+    r"\U00016FF0-\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
+)
+OTHER_MARK = regex.compile(f"([{NEWER_MARKS}])")
+NEWER_CAPITAL = regex.compile(f"[{''.join(map(chr, NEWER_LOWER))}]")
+
+
+def composed(text: str) -> str:
+    """Normal form C as the library has it: a mark that it doesn't know stands like a letter between what is before and after it."""
+    if OTHER_MARK.search(text):
+        return "".join([unicodedata.normalize("NFC", piece) for piece in OTHER_MARK.split(text)])
+    return unicodedata.normalize("NFC", text)
+
+
+def lowered(text: str) -> str:
+    """Lower case, letter by letter."""
+    if NEWER_CAPITAL.search(text):
+        text = text.translate(NEWER_LOWER)
+    return "".join([c.lower() for c in text])
+
+
 def visible_bytes() -> list[str]:
     """The character that stands for each byte: itself where it is visible, else one from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -114,7 +153,10 @@ class Encoder:
         self.strings = {i: s.encode() for s, i in [*vocab.items(), *self.special.items()]}
         self.is_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        pattern: str = split["pattern"]["Regex"]
+        for kind, newer in ((r"\p{L}", NEWER_LETTERS), (r"\p{N}", NEWER_NUMBERS)):
+            pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
+        self.words = regex.compile(pattern, regex.V1)
         self.chunks, self.of_word = Remembered(self.ids_of_chunk), Remembered(self.ids_of_word)
 
     def ids_of_word(self, word: str) -> bytes:
@@ -124,7 +166,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of_plain(self, text: str) -> bytes:
-        text = text.lower() if text.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+        text = text.lower() if text.isascii() else lowered(composed(text))
         of_word = self.of_word
         return b"".join([of_word[w] for w in self.words.findall(text)])
 
