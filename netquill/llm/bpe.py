@@ -50,9 +50,9 @@ NEWER_LOWER = {
     **{c: c + 32 for c in range(0x10D50, 0x10D66)}, **{c: c + 27 for c in range(0x16EA0, 0x16EB9)},
 }
 NEWER_MARKS = (
-    r"\u0898\u089C-\u089F\u08CA-\u08CE\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1AC1-\u1AC2\u1AC5-\u1AC9\u1ACB-\u1ACE\u1DF6-\u1DF8\u1DFA\uA82C"
-    r"\U00010D24-\U00010D27\U00010EAB-\U00010EAC\U00010F48-\U00010F4A\U00010F4C\U00010F82\U00010F84\U00011070\U0001133B\U0001145E\U00011839-\U0001183A\U00011930"
-    r"\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45\U00011D97\U00011F41-\U00011F42"
+    r"\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C"
+    r"\U00010D24-\U00010D27\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85\U00011070\U0001133B\U0001145E\U00011839-\U0001183A"
+    r"\U00011930\U0001193D-\U0001193E\U00011943\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45\U00011D97\U00011F41-\U00011F42"
     r"\U00016FF0-\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
 )
 OTHER_MARK = regex.compile(f"([{NEWER_MARKS}])")
