@@ -2,7 +2,7 @@
 
 read_pcap and stream_pcap take whole files through Spark's binaryFile source, so any file
 system that Spark knows works, one task a file, and parse them in Arrow batches.
-write_pcap writes captures of a shared folder; rotated() assigns packets to files.
+write_pcap writes captures of a shared folder, one file a task; rotated() assigns packets to files.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.errors import CaptureError
+from .rotation import rotated
 
 RAW = "interface string, seq bigint, ts_us bigint, wire_len bigint, link bigint, data binary"
 #: Magic numbers as they stand in a file: (byte order, ticks in a microsecond).
@@ -113,32 +114,6 @@ def with_packet_ids(raw: DataFrame) -> DataFrame:
     return raw.join(files, "interface").withColumn("pkt_id", F.col("file_no") * (1 << 32) + F.col("seq")).drop("file_no")
 
 
-def rotated(raw: DataFrame, max_mb: int = 0, max_seconds: int = 0) -> DataFrame:
-    """raw with file_no: a new file begins before a packet that would exceed max_mb, or comes max_seconds or more after the file's first.
-
-    0 disables a limit. Sizes count packet bytes only. The rule restarts its sum at each file,
-    so packets of an interface are folded in order of time, in batches of bounded memory.
-    """
-    limit, age = max_mb << 20, max_seconds * 1_000_000
-    names = raw.columns
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[str, list[int]] = {}
-        for frame in frames:
-            numbers = []
-            for interface, ts, size in zip(frame["interface"], frame["ts_us"], frame["data"].map(len), strict=True):
-                s = state.setdefault(interface, [0, 0, ts])  # file, bytes, first time
-                if (limit and s[1] + size > limit) or (age and ts - s[2] >= age):
-                    s[:] = [s[0] + 1, 0, ts]
-                s[1] += size
-                numbers.append(s[0])
-            yield frame.assign(file_no=pd.Series(numbers, index=frame.index, dtype="int64"))[[*names, "file_no"]]
-
-    ordered = raw.repartition("interface").sortWithinPartitions("interface", "ts_us", "seq")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields)
-    return ordered.mapInPandas(fold, f"{fields}, file_no bigint")
-
-
 def write_pcap(raw: DataFrame, folder: str, stem: str = "capture", max_mb: int = 0, max_seconds: int = 0) -> DataFrame:
     """Write files <stem>_<interface hash>_NNN.pcap to a folder that all executors share; returns (path, packets, bytes).
 
@@ -173,5 +148,5 @@ def write_pcap(raw: DataFrame, folder: str, stem: str = "capture", max_mb: int =
             os.replace(f"{path}.part", path)
 
     tagged = files.withColumn("tag", F.substring(F.md5("interface"), 1, 8))
-    ordered = tagged.repartition("interface").sortWithinPartitions("interface", "file_no", "ts_us", "seq")
+    ordered = tagged.repartition("interface", "file_no").sortWithinPartitions("interface", "file_no", "ts_us", "seq")
     return ordered.mapInPandas(write, "path string, packets bigint, bytes bigint")
