@@ -1,13 +1,14 @@
 """Document quality by attention-based multiple-instance learning.
 
 A text is a bag of passages of PASSAGE_WORDS words; only the bag has a label. Each passage is
-described by shares and counts of its characters and words (MEASURES) and encoded by a learnt
-layer. Gated attention, w . (tanh(V h) * sigmoid(U h)), weighs the passages of a bag, and the
+described by shares and counts of its characters and words (SHAPES), and by what it says: its words
+and pairs of words are hashed, with a sign, to PLACES places, each of which has a learnt
+embedding. A learnt layer encodes the sum of both. Gated attention, w . (tanh(V h) * sigmoid(U h)), weighs the passages of a bag, and the
 weighted mean of their encodings is scored by a logistic unit. All layers are trained together
 in numpy from document labels.
 
 Training uses a bounded sample (SAMPLE_ROWS labelled texts, at most training.SAMPLE_BYTES together);
-the model has about a thousand numbers. Scoring reads whole texts, every passage, in one pass
+the model has about ten thousand numbers. Scoring reads whole texts, every passage, in one pass
 without a shuffle. Labels, language, source and doc_id are no inputs of a score.
 
 Edge cases: null, empty and white texts are one passage without words, and score like one;
@@ -18,6 +19,7 @@ good labels (0.5 without any); a null doc_id is never learnt from; extra columns
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,34 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Kinds of bytes that are counted: each is a row of 256 flags.
 KINDS = [b"\n", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!?", b".,;:", b"|", b"#", b"$", b"%", b"&", b"*", b"<>{}[]()", b"\"'`", b"/\\@=_+~^-", bytes(range(128, 256))]
 OF_KIND = np.array([[b in k for b in range(256)] for k in KINDS])
-MEASURES = 2 * len(KINDS) + 8
-
-
-def passages_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(measures of each passage, text of each passage); passages of a text stand together."""
+SHAPES, PLACES = 2 * len(KINDS) + 8, 512
+MEASURES = SHAPES + PLACES
+#: Of a passage whose hashed words have length 1, how far they are stretched beside the measures, which have variance 1.
+STRETCH = 4.0
+#: Passages that are encoded at a time.
+AT_ONCE = 4096
+
+
+class Bags(NamedTuple):
+    """Passages, those of a text together: their measures (SHAPES) and texts, and hashed words and pairs (passage, place, sign), sorted by passage."""
+
+    measures: np.ndarray
+    owner: np.ndarray
+    at: np.ndarray
+    place: np.ndarray
+    sign: np.ndarray
+
+    def inputs(self, begin: int, end: int) -> np.ndarray:
+        """What the network sees of some passages, MEASURES columns."""
+        x = np.empty((end - begin, MEASURES), np.float32)
+        x[:, :SHAPES] = self.measures[begin:end]
+        a, b = np.searchsorted(self.at, [begin, end])
+        sums = np.bincount((self.at[a:b] - begin) * PLACES + self.place[a:b], self.sign[a:b], (end - begin) * PLACES).reshape(-1, PLACES)
+        x[:, SHAPES:] = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1)
+        return x
+
+
+def passages_of(texts: list[bytes]) -> Bags:
     t = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     white = WHITE[t]
     starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
@@ -83,26 +108,44 @@ def passages_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     in_text = np.repeat(n_words, n_passages)
     extra = np.stack([distinct / some, again / some, mean / 10, spread / 5, one / some, np.log1p(words) / 4, np.log1p(in_text) / 8, words == 0], 1)
     measures = np.concatenate([counts / size, np.minimum(counts / some[:, None], 3), extra], 1)
-    return measures.astype(np.float32), np.repeat(np.arange(len(texts)), n_passages)
+    near = np.flatnonzero(passage[1:] == passage[:-1])
+    pairs = (mixed[near] * np.uint64(0x9E3779B97F4A7C15)) ^ mixed[near + 1]
+    hashed = np.concatenate([mixed, pairs]) * np.uint64(0xD6E8FEB86659FD93)
+    at = np.concatenate([passage, passage[near]])
+    order = np.argsort(at, kind="stable")
+    place, sign = (hashed >> np.uint64(40)) % np.uint64(PLACES), 1 - 2 * (hashed >> np.uint64(63)).astype(np.int8)
+    return Bags(measures.astype(np.float32), np.repeat(np.arange(len(texts)), n_passages), at[order].astype(np.int32), place[order].astype(np.int16), sign[order])
 
 
 def start(rng: np.random.Generator) -> dict[str, np.ndarray]:
     shapes = {"e": (MEASURES, ENCODED), "v": (ENCODED, GATE), "u": (ENCODED, GATE), "w": (GATE, 1), "s": (ENCODED, 1)}
     params = {k: rng.normal(0, 1 / np.sqrt(a), (a, b)) for k, (a, b) in shapes.items()}
+    params["e"][SHAPES:] = 0  # nothing is known of words before training
     return params | {"eb": np.zeros(ENCODED), "sb": np.zeros(1), "mean": np.zeros(MEASURES), "scale": np.ones(MEASURES)}
 
 
+def encoded(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x scaled, and its encoding."""
+    x = np.clip((x - p["mean"]) * p["scale"], -6, 6)
+    return x, np.tanh(x @ p["e"] + p["eb"])
+
+
 def forward(p: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """Scores of n bags, and the parts that training needs; bag numbers ascend."""
-    x = np.clip((x - p["mean"]) * p["scale"], -6, 6)
-    h = np.tanh(x @ p["e"] + p["eb"])
+    x, h = encoded(p, x)
+    score, *parts = attended(p, h, bag, n)
+    return score, x, h, *parts
+
+
+def attended(p: dict[str, np.ndarray], h: np.ndarray, bag: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Scores of n bags of encodings, the two halves of the gate, the weights and the weighted means."""
     v, u = np.tanh(h @ p["v"]), sigmoid(h @ p["u"])
     a = ((v * u) @ p["w"])[:, 0]
     starts = np.searchsorted(bag, np.arange(n))
     e = np.exp(a - np.maximum.reduceat(a, starts)[bag])
     a = e / np.add.reduceat(e, starts)[bag]
     z = np.add.reduceat(a[:, None] * h, starts)
-    return sigmoid((z @ p["s"])[:, 0] + p["sb"]), x, h, v, u, a, z
+    return sigmoid((z @ p["s"])[:, 0] + p["sb"]), v, u, a, z
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -128,9 +171,12 @@ def train(sample: list[tuple[bytes, int]]) -> dict[str, np.ndarray]:
         p["s"][:] = 0
         p["sb"][:] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)) if len(labels) else 0
         return p
-    parts = [passages_of([t])[0] for t, _ in sample]
-    every = np.concatenate(parts)
-    p["mean"], p["scale"] = every.mean(0).astype(np.float64), 1 / (every.std(0).astype(np.float64) + 1e-3)
+    parts = [passages_of([t]) for t, _ in sample]
+    every = np.concatenate([b.measures for b in parts])
+    p["mean"][:SHAPES], p["scale"][:SHAPES] = every.mean(0), 1 / (every.std(0).astype(np.float64) + 1e-3)
+    p["scale"][SHAPES:] = STRETCH
+    for k in ("mean", "scale"):
+        p[k] = p[k].astype(np.float32)
     p["sb"][:] = np.log(labels.mean() / (1 - labels.mean()))
     trained = {k: p[k] for k in ("e", "eb", "v", "u", "w", "s", "sb")}
     epochs = max(EPOCHS, 12_000 // len(sample))
@@ -139,8 +185,8 @@ def train(sample: list[tuple[bytes, int]]) -> dict[str, np.ndarray]:
         order = rng.permutation(len(sample))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
-            bag = np.repeat(np.arange(len(pick)), [len(parts[j]) for j in pick])
-            grads = gradients(p, np.concatenate([parts[j] for j in pick]), bag, labels[pick])
+            bag = np.repeat(np.arange(len(pick)), [len(parts[j].owner) for j in pick])
+            grads = gradients(p, np.concatenate([parts[j].inputs(0, len(parts[j].owner)) for j in pick]), bag, labels[pick])
             adam.rate = RATE * (1 - adam.n / steps) + 1e-4
             adam.step({k: g + PENALTY * trained[k] * (k not in ("eb", "sb")) for k, g in grads.items()})
     return p
@@ -150,8 +196,10 @@ def scores(texts: list[bytes], p: dict[str, np.ndarray]) -> np.ndarray:
     out = []
     for i in range(0, len(texts), 128):
         part = texts[i : i + 128]
-        x, bag = passages_of(part)
-        out.append(forward(p, x, bag, len(part))[0])
+        bags = passages_of(part)
+        n = len(bags.owner)
+        h = np.concatenate([encoded(p, bags.inputs(at, min(n, at + AT_ONCE)))[1] for at in range(0, n, AT_ONCE)])
+        out.append(attended(p, h, bags.owner, len(part))[0])
     return np.concatenate(out) if out else np.zeros(0)
 
 
