@@ -56,21 +56,13 @@ NEWER_MARKS = (
     r"\U00016FF0-\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
 )
 OTHER_MARK = regex.compile(f"([{NEWER_MARKS}])")
-NEWER_CAPITAL = regex.compile(f"[{''.join(map(chr, NEWER_LOWER))}]")
+NEWER = regex.compile(f"[{NEWER_LETTERS}{NEWER_NUMBERS}{NEWER_MARKS}{''.join(map(chr, NEWER_LOWER))}]")
 
 
-def composed(text: str) -> str:
-    """Normal form C as the library has it: a mark that it doesn't know stands like a letter between what is before and after it."""
-    if OTHER_MARK.search(text):
-        return "".join([unicodedata.normalize("NFC", piece) for piece in OTHER_MARK.split(text)])
-    return unicodedata.normalize("NFC", text)
-
-
-def lowered(text: str) -> str:
-    """Lower case, letter by letter."""
-    if NEWER_CAPITAL.search(text):
-        text = text.translate(NEWER_LOWER)
-    return "".join([c.lower() for c in text])
+def newer_normalised(text: str) -> str:
+    """Normal form C and lower case of a text with NEWER characters. A mark that the library doesn't know stands like a letter between what is before and after it."""
+    text = "".join([unicodedata.normalize("NFC", piece) for piece in OTHER_MARK.split(text)])
+    return "".join([c.lower() for c in text.translate(NEWER_LOWER)])
 
 
 def visible_bytes() -> list[str]:
@@ -154,9 +146,10 @@ class Encoder:
         self.is_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern: str = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern)
         for kind, newer in ((r"\p{L}", NEWER_LETTERS), (r"\p{N}", NEWER_NUMBERS)):
             pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
-        self.words = regex.compile(pattern, regex.V1)
+        self.newer_words = regex.compile(pattern, regex.V1)
         self.chunks, self.of_word = Remembered(self.ids_of_chunk), Remembered(self.ids_of_word)
 
     def ids_of_word(self, word: str) -> bytes:
@@ -166,9 +159,14 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of_plain(self, text: str) -> bytes:
-        text = text.lower() if text.isascii() else lowered(composed(text))
+        if text.isascii():
+            words = self.words.findall(text.lower())
+        elif NEWER.search(text):
+            words = self.newer_words.findall(newer_normalised(text))
+        else:
+            words = self.words.findall("".join([c.lower() for c in unicodedata.normalize("NFC", text)]))
         of_word = self.of_word
-        return b"".join([of_word[w] for w in self.words.findall(text)])
+        return b"".join([of_word[w] for w in words])
 
     def ids_of_chunk(self, chunk: bytes) -> bytes:
         """Of text without ASCII white space (no token spans it), as little-endian 32-bit integers."""
