@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of texts into training sequences of fixed capacity.
 
 A text of n UTF-8 bytes has n + 1 units (one end mark). Texts over the capacity are cut into
-pieces that fill whole bins, and a last piece. A bin holds no two pieces of texts of the same
+pieces that fill whole bins, and a last piece; cuts are at bytes, so they may go through a
+character. A bin holds no two pieces of texts of the same
 duplicate cluster (so a text's own pieces never meet), and at most PER_SOURCE pieces
 of one source.
 

@@ -15,7 +15,7 @@ equals; a stratum where no step gains, or with too few labels (22 good ones are
 certify anything, in a single stratum), rejects nothing beyond the base rules.
 
 All labelled rows count, at any size; what is gathered is one row for each stratum and
-step. Measures are computed within each row (no shuffle of words), and written once.
+step, which one task looks through: strata are to be few, as languages are. Measures are computed within each row (no shuffle of words), and written once.
 
 Edge cases: a null text has no words and so fails the base rules, like an empty one; a null
 language is a stratum of its own; repeated rows each get the same verdict; with no labels, or
