@@ -63,13 +63,21 @@ def in_flows(packets: DataFrame, tick_s: int = 0, most_rows: int = MOST_ROWS) ->
     before the tick revives its flow.
     """
     p = canonical(packets).withColumn("sets", stated())
-    hot = staged(p.groupBy(*KEY).count().where(F.col("count") > most_rows).select(*KEY), "hot_keys")
+    hot = staged(hot_keys(packets, most_rows), "hot_keys")
     if hot.isEmpty():
         return walked(p, KEY, tick_s).drop("sets")
     cold = walked(p.join(hot, KEY, "left_anti"), KEY, tick_s)
     return cold.unionByName(in_stretches(p.join(hot, KEY, "left_semi"), tick_s)).drop("sets")
 
 
+def hot_keys(packets: DataFrame, most_rows: int) -> DataFrame:
+    """Keys with over most_rows packets, counted by the text of addresses, which is cheaper than by key; only the few that are found are put in key form."""
+    end = lambda side: F.struct(F.col(f"{side}_ip").alias("ip"), F.col(f"{side}_port").alias("port"))
+    ends = packets.where("src_ip is not null and dst_ip is not null").select("l4", F.least(end("src"), end("dst")).alias("a"), F.greatest(end("src"), end("dst")).alias("b"))
+    found = ends.groupBy("l4", "a", "b").count().where(F.col("count") > most_rows)
+    return canonical(found.select("l4", F.col("a.ip").alias("src_ip"), F.col("a.port").alias("src_port"), F.col("b.ip").alias("dst_ip"), F.col("b.port").alias("dst_port"))).select(*KEY).distinct()
+
+
 def walked(p: DataFrame, by: list[str], tick_s: int, in_us: Column | None = None, in_state: Column | None = None) -> DataFrame:
     """p (see canonical, with sets) with state, and flow_no counted within `by`, a key or a stretch of it that is entered with a time and a state."""
     before, entered = in_us if in_us is not None else F.lit(None).cast("bigint"), in_state if in_state is not None else F.lit("New")
