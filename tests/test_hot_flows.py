@@ -37,12 +37,12 @@ def table(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize(("seed", "tick_s"), [(1, 0), (2, 0), (3, 30), (4, 30), (5, 0)])
+@pytest.mark.parametrize(("seed", "tick_s"), [(1, 0), (2, 0), (3, 30)])
 def test_same_flows(spark, many_ranges, seed, tick_s):
     p = packets(spark, *some(seed))
     want = table(flows.flow_table(p, tick_s))
     assert len(want) > 10
-    for most_rows in (0, 50, 200):
+    for most_rows in (0, 100):
         assert table(flows.flow_table(p, tick_s, most_rows)) == want, most_rows
 
 
